@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL.
-MODULES = ("ngram_join",)
+MODULES = ("secret_scan", "mixing", "ngram_join")
 
 
 def _gather(what: str) -> dict:
