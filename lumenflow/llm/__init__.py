@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL.
-MODULES = ("secret_scan", "mixing", "ngram_join")
+MODULES = ("secret_scan", "warc", "mixing", "ngram_join", "chat_trees")
 
 
 def _gather(what: str) -> dict:
