@@ -38,7 +38,7 @@ def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound the bytes of an Arrow batch, so that very long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

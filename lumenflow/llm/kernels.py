@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def table_of(keep) -> np.ndarray:
