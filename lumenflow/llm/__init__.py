@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL.
-MODULES = ("decontaminate", "licences", "secret_scan", "warc", "topk_search", "mixing", "ngram_join", "chat_trees")
+MODULES = ("decontaminate", "licences", "secret_scan", "warc", "ppm", "topk_search", "mixing", "ngram_join", "chat_trees", "lang_id")
 
 
 def _gather(what: str) -> dict:

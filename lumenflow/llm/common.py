@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII upper case to lower case; the operators fold no other letters unless they say so.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,6 +44,11 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def extended(schema, more: str):
+    """A schema with further columns, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
