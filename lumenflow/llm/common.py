@@ -44,6 +44,11 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df marked to be sent to all executors if it has at most `most` (narrow) rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def extended(schema, more: str):
     """A schema with further columns, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])

@@ -23,16 +23,32 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import connected_components, shared_dir, small_batches, stash, table
+from .common import bounded, connected_components, extended, shared_dir, small_batches, stash, table
 
 BITS = 51  #: width of a shingle hash
 CELLS = 21  #: log2 of the count cells; one byte each is sent to the executors: 2 MB at any input size
 TILE = 2048  #: rows in a slice of a long posting list
 SENT = 2_000_000  #: class keys that may be sent to all executors (16 bytes each); beyond it they are joined
-PARITY = 512  #: bits of the parity bitmap
+PARITY = 512  #: least bits of a parity bitmap; larger sets have the power of two from half their size on
+
+
+def _parity(keys: np.ndarray) -> bytes:
+    """Bitmap of the parity of the members in each bucket. Halves folded by xor give the smaller bitmap."""
+    bits = PARITY
+    while bits < len(keys) // 2:
+        bits *= 2
+    return np.packbits(np.bincount((keys % K.U(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _fold(raw: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def least_overlap(n, m, t: int):
@@ -65,7 +81,7 @@ def _local_counts(k: int):
             keys, _ = _sets(piece, k)
             held.append(keys)
             size += len(keys)
-            if size >= 4_000_000:
+            if size >= 2_000_000:
                 yield out()
                 held, size = [], 0
         if size:
@@ -110,43 +126,51 @@ def _profiles(k: int, t: int, order):
                 p = prefix_size(int(size), t)
                 x = ranked[offs[i] : offs[i + 1]]
                 lists.append(np.sort(np.partition(x, p - 1)[:p] if 0 < p < size else x[:p]))
-            doc = np.repeat(np.arange(len(n)), n)
-            par = np.bincount(doc * PARITY + (keys % K.U(PARITY)).astype(np.int64), minlength=len(n) * PARITY) & 1
             flat = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
             at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             rest = [piece.column(i) for i, f in enumerate(piece.schema.names) if f != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(n.astype(np.int64)), _fixed(sig), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), _fixed(np.packbits(par.reshape(len(n), PARITY).astype(bool), axis=1))],
+                [*rest, pa.array(n.astype(np.int64)), _fixed(sig), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array([_parity(keys[offs[i] : offs[i + 1]]) for i in range(len(n))], pa.binary())],
                 [*[f for f in piece.schema.names if f != "text"], "n", "sig", "prefix", "bits"],
             )
 
     return run
 
 
-def _same(ns: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
-    """Whether pairs pass the size and the bitmap filter."""
-    lo, hi = np.minimum(ns[i], ns[j]), np.maximum(ns[i], ns[j])
-    ok = 100 * lo >= t * hi
-    diff = np.bitwise_count(bits[i] ^ bits[j]).sum(-1, dtype=np.int64)
-    return ok & (diff <= ns[i] + ns[j] - 2 * least_overlap(ns[i], ns[j], t))
+class _Lists:
+    """Sizes and bitmaps of rows; `same` tells which pairs pass both filters."""
+
+    def __init__(self, ns: np.ndarray, raw: list[bytes], t: int):
+        self.ns, self.raw, self.t = ns, raw, t
+        self.wide = np.array([len(x) for x in raw])
+        self.bits = np.stack([_fold(x, PARITY // 8) for x in raw]) if raw else np.zeros((0, PARITY // 64), np.uint64)
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.ns[i], self.ns[j]
+        ok = 100 * np.minimum(a, b) >= self.t * np.maximum(a, b)
+        i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        most = a + b - 2 * least_overlap(a, b, self.t)
+        near = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(-1, dtype=np.int64) <= most
+        size = np.minimum(self.wide[i], self.wide[j])
+        for x in np.flatnonzero(near & (size > PARITY // 8)):
+            d = _fold(self.raw[i[x]], size[x]) ^ _fold(self.raw[j[x]], size[x])
+            near[x] = int(np.bitwise_count(d).sum(dtype=np.int64)) <= most[x]
+        ok[ok] = near
+        return ok
 
 
-def _list_pairs(ns, bits, comp, t, forest) -> tuple[np.ndarray, np.ndarray]:
+def _list_pairs(rows: _Lists, at: int, m: int, comp, forest) -> tuple[np.ndarray, np.ndarray]:
     """Filtered pairs of one posting list: a spanning forest, or all that cross components."""
-    m = len(ns)
-    if m <= 1:
-        z = np.zeros(0, np.int64)
-        return z, z
     found_i, found_j = [], []
     root = np.arange(m)
-    for at in range(1, m, 64):
-        js = np.arange(at, min(at + 64, m))
+    for first in range(1, m, 64):
+        js = np.arange(first, min(first + 64, m))
         jj, ii = np.meshgrid(js, np.arange(js[-1]), indexing="ij")
         keep = ii < jj
         if comp is not None:
             keep &= comp[ii] != comp[jj]
         ii, jj = ii[keep], jj[keep]
-        ok = _same(ns, bits, ii, jj, t)
+        ok = rows.same(ii + at, jj + at)
         ii, jj = ii[ok], jj[ok]
         if forest:
             while len(ii):
@@ -188,8 +212,7 @@ def _edges(t: int, forest: bool):
             tile = x.column("tile").to_numpy()
             ns = x.column("n").to_numpy()
             sig = x.column("sig").combine_chunks()
-            raw = x.column("bits").combine_chunks()
-            bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(ns), PARITY // 64)
+            rows = _Lists(ns, x.column("bits").to_pylist(), t)
             comp = None
             if "comp" in x.column_names:
                 comp = x.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -206,11 +229,11 @@ def _edges(t: int, forest: bool):
                 if comp is not None:
                     cross = comp[i] != comp[j]
                     i, j = i[cross], j[cross]
-                ok = _same(ns, bits, i, j, t)
+                ok = rows.same(i, j)
                 a.append(i[ok])
                 b.append(j[ok])
             for s, n in zip(at[~small], size[~small]):
-                i, j = _list_pairs(ns[s : s + n], bits[s : s + n], None if comp is None else comp[s : s + n], t, forest)
+                i, j = _list_pairs(rows, s, n, None if comp is None else comp[s : s + n], forest)
                 a.append(i + s)
                 b.append(j + s)
             a, b = np.concatenate(a), np.concatenate(b)
@@ -282,8 +305,9 @@ def _tiled(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, sig, component_id): components of the texts whose k-word shingle sets have a
-    Jaccard similarity of t percent or more. sig is the key of the text's set. One row per row of docs."""
+    """(id, n_shingles, sig, comp, component_id): components of the texts whose k-word shingle sets have a
+    Jaccard similarity of t percent or more. sig is the key of the text's set, comp that of its component
+    (null for an empty set), component_id the component's least id. One row per row of docs."""
     spark = docs.sparkSession
     shared_dir(spark)
     small_batches(spark)
@@ -297,22 +321,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     meta = stash(docs.mapInArrow(_profiles(k, t, order), f"doc_id {kind}, n long, sig binary, prefix array<long>, bits binary"))
-    classes = meta.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least_id"), F.min("bits").alias("bits"), F.min(F.xxhash64("prefix")).alias("ph"))
-    classes = stash(classes)
-    groups = classes.groupBy("n", "ph").agg(F.min("sig").alias("gid"), F.count("*").alias("members"))
-    groups = stash(groups)
-
-    # postings of the groups' prefixes; a list of one group leads to nothing but the pairs within that group
-    lone = groups.select(F.col("gid").alias("sig"))
-    posted = meta.where("n > 0 and size(prefix) > 0").select("sig", "prefix").join(lone, "sig", "left_semi")
-    posted = posted.groupBy("sig").agg(F.min("prefix").alias("prefix")).select(F.col("sig").alias("gid"), F.explode("prefix").alias("list"))
-    lists = posted.groupBy("list").agg(F.count("*").alias("groups"), F.min("gid").alias("one")).where("groups > 1").select("list")
-    shared = posted.join(lists, "list")
-    within = groups.where("members > 1").select("gid", F.xxhash64("gid", F.lit("within")).alias("list"))
-    shared = stash(shared.select("gid", "list").union(within))
-    keyed = classes.join(groups, ["n", "ph"]).select("gid", "sig", "n", "bits")
-    rows = shared.join(keyed, "gid").select("list", "sig", "n", "bits")
-    sizes = stash(shared.join(groups.select("gid", "members"), "gid").groupBy("list").agg(F.sum("members").alias("size")))
+    ranked = meta.withColumn("g", F.xxhash64("n", "prefix"))
+    classes = stash(ranked.where("n > 0").groupBy("sig").agg(F.min("n").alias("n"), F.min("g").alias("g"), F.min("doc_id").alias("least_id"), F.min("bits").alias("bits")))
+    groups = stash(classes.groupBy("g").agg(F.count("*").alias("members")))
+
+    # Postings of the groups. A group without another one of fitting size in the list leaves it; what
+    # is left of groups with several members also needs the pairs within the group.
+    posted = ranked.where("n > 0 and size(prefix) > 0").select(F.explode("prefix").alias("list"), "g", F.col("n").cast("int").alias("n"))
+    posted = posted.repartition("list").dropDuplicates(["list", "g"])
+    by_size = W.partitionBy("list").orderBy("n", "g")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * t) | (F.col("n") * 100 >= F.lead("n").over(by_size) * t)
+    within = groups.where("members > 1").select(F.xxhash64("g", F.lit("within")).alias("list"), "g")
+    shared = stash(posted.withColumn("fits", fits).where("fits").select("list", "g").union(within))
+    rows = shared.join(classes.select("g", "sig", "n", "bits"), "g").drop("g")
+    sizes = stash(shared.join(groups, "g").groupBy("list").agg(F.sum("members").alias("size")))
 
     def edges(rows: DataFrame, forest: bool, schema: list[str]) -> DataFrame:
         tiles = _tiled(rows.join(sizes, "list")).select("tile", "n", "sig", "bits", *schema)
@@ -326,16 +348,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
     labels = rows.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     labels = stash(labels)
     mixed = labels.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-    second = edges(labels.join(mixed, "list", "left_semi"), False, ["comp"]).join(first, ["a", "b"], "left_anti")
-    more = _verified(docs, stash(second), k, t)
-    if more.limit(1).count():
-        comps = connected_components(linked.union(more))
+    second = stash(edges(labels.join(mixed, "list", "left_semi"), False, ["comp"]).join(first, ["a", "b"], "left_anti"))
+    if second.limit(1).count():
+        more = _verified(docs, second, k, t)
+        if more.limit(1).count():
+            comps = connected_components(linked.union(more))
     named = classes.select("sig", "least_id").join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = stash(named)
     least = stash(named.groupBy("comp").agg(F.min("least_id").alias("component_id")))
-    named = stash(named.join(least, "comp").select("sig", "component_id"))
+    named = stash(named.join(least, "comp").select("sig", "comp", "component_id"))
     out = meta.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "sig", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, one of the least id. Texts without words all stay.
+    Rows whose id is null or not unique are told apart by their sets."""
+    found = stash(jaccard_components(docs, k, t, id_col, text_col))
+    stays = (F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = found.where(~stays & F.col(id_col).isNotNull()).select(id_col).distinct()
+    shared = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    plain = docs.where(F.col(id_col).isNotNull()).join(bounded(stash(gone.union(shared).distinct())), id_col, "left_anti")
+    if not found.where(F.col(id_col).isNull()).limit(1).count() and not shared.limit(1).count():
+        return plain.select(docs.columns)
+    odd = docs.where(F.col(id_col).isNull()).unionByName(docs.join(shared, id_col, "left_semi").select(docs.columns))
+
+    def keyed(batches):
+        for p in K.pieces(batches, text_col):
+            data, offs = K.view(p.column(p.schema.get_field_index(text_col)))
+            sig, n = _sigs(*K.shingle_sets(K.FOLD[data], offs, K.NOT_SPACE, k, BITS))
+            yield pa.RecordBatch.from_arrays([*p.columns, _fixed(sig), pa.array(n.astype(np.int64))], [*p.schema.names, "_sig", "_n"])
+
+    odd = odd.mapInArrow(keyed, extended(docs.schema, "_sig binary, _n long"))
+    named = found.where("n_shingles > 0").groupBy(F.col("sig").alias("_sig")).agg(F.min("comp").alias("_comp"), F.min("component_id").alias("_least"))
+    odd = odd.join(named, "_sig", "left")
+    one = odd.where((F.col("_n") > 0) & F.col(id_col).eqNullSafe(F.col("_least"))).dropDuplicates(["_comp"])
+    return plain.select(docs.columns).unionByName(one.select(docs.columns)).unionByName(odd.where("_n = 0").select(docs.columns))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
