@@ -55,11 +55,13 @@ def reply_trees(nodes: DataFrame, top: int = 1, loss_role: str = LOSS_ROLE) -> D
     up = n.join(there, ["k", "parent"], "left").select("k", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("d"), "score").checkpoint()
     total, levels = n.count(), []
     for _ in range(max(1, math.ceil(math.log2(total + 1))) + 1):
-        if not up.where("up IS NOT NULL").limit(1).count():
+        level = up.where("up IS NOT NULL")  # the others have reached their root and rest
+        if not level.limit(1).count():
             break
-        levels.append(up)
+        levels.append(level)
         above = up.select("k", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"), F.col("score").alias("s2"))
-        up = up.join(above, ["k", "up"], "left").select("k", "node", F.col("up2").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")).checkpoint()
+        step = level.join(above, ["k", "up"]).select("k", "node", F.col("up2").alias("up"), (F.col("d") + F.col("d2")).alias("d"), (F.col("score") + F.col("s2")).alias("score"))
+        up = up.where("up IS NULL").union(step.select(up.columns)).checkpoint()
     rooted = up.where("up IS NULL").select("k", "node", "d", (F.col("score") / (F.col("d") + 1)).alias("mean"))
     inner = n.where("parent IS NOT NULL").select("k", F.col("parent").alias("node")).distinct()
     leaves = rooted.join(inner, ["k", "node"], "left_anti")
@@ -67,7 +69,7 @@ def reply_trees(nodes: DataFrame, top: int = 1, loss_role: str = LOSS_ROLE) -> D
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
     path = chosen.select("k", F.col("node").alias("leaf"), "rank", "mean", "node", F.lit(0).alias("back")).checkpoint()
     for k, level in enumerate(levels):
-        more = path.join(level.where("up IS NOT NULL").select("k", "node", "up"), ["k", "node"]).select("k", "leaf", "rank", "mean", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        more = path.join(level.select("k", "node", "up"), ["k", "node"]).select("k", "leaf", "rank", "mean", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         path = path.union(more).checkpoint()
     turn = F.concat(F.lit("### "), escape(F.col("role"), ":"), F.lit(": "))
     t = path.join(n, ["k", "node"]).select("k", "tree", "leaf", "rank", "mean", "back", turn.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
