@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.llm import decontaminate, lang_id, mixing, ngram_join, secret_scan
-from lumenflow.llm.common import bounded, stash, table
+from lumenflow.llm.common import bounded, drop_stashes, stash, table
 
 #: Documents of an undetermined language go; so do those whose language is hardly better than a guess.
 LEAST_SCORE = 0.3
@@ -32,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window."""
     key = F.xxhash64("doc_id", "text")
-    found = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    dirty = stash(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key")).distinct())
+    index = decontaminate.build_index(docs.select(key.alias("doc_id"), "text"))
+    found = decontaminate.search_index(index, table(spark, sf_dir, "benchmark"))
+    dirty = stash(found.where(F.size("spans") > 0).select(F.col("id").alias("_key")).distinct())
+    drop_stashes(index)
     return docs.withColumn("_key", key).join(bounded(dirty), "_key", "left_anti").select(docs.columns)
 
 

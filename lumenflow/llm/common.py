@@ -36,7 +36,17 @@ def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop_stashes(*dfs: DataFrame) -> None:
+    """Delete what stash() wrote for these DataFrames; nothing that is still to be read may depend on them."""
+    for df in dfs:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:

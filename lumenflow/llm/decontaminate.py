@@ -27,7 +27,7 @@ from .common import shared_dir, small_batches, stash, table
 
 WINDOW = 10
 PART = 8_000_000
-SEGMENT = 4 << 20  #: bytes of text in a segment (one longer text stands alone)
+SEGMENT = 2 << 20  #: bytes of text in a segment (one longer text stands alone)
 INDEX = "ids array<long>, starts array<int>, terms binary, offsets binary, positions binary"
 
 

@@ -6,11 +6,13 @@ beyond the longest single text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def table_of(keep) -> np.ndarray:
@@ -63,6 +65,14 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches, text: str, size: int = PIECE, rows: int = 4096):
     """Sub-batches of at most `rows` rows and `size` bytes of text (one longer text stands alone)."""
     for batch in batches:
@@ -73,6 +83,7 @@ def pieces(batches, text: str, size: int = PIECE, rows: int = 4096):
             to = min(max(to, at + 1), at + rows, n)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def tokens(data: np.ndarray, offs: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

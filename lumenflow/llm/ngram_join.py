@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded, connected_components, extended, shared_dir, small_batches, stash, table
+from .common import bounded, connected_components, drop_stashes, extended, shared_dir, small_batches, stash, table
 
 BITS = 51  #: width of a shingle hash
 CELLS = 21  #: log2 of the count cells; one byte each is sent to the executors: 2 MB at any input size
@@ -81,7 +81,7 @@ def _local_counts(k: int):
             keys, _ = _sets(piece, k)
             held.append(keys)
             size += len(keys)
-            if size >= 2_000_000:
+            if size >= 1_000_000:
                 yield out()
                 held, size = [], 0
         if size:
@@ -239,6 +239,7 @@ def _edges(t: int, forest: bool):
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([sig.take(pa.array(a)), sig.take(pa.array(b))], ["x", "y"])
+        K.release()
 
     return run
 
@@ -291,7 +292,9 @@ def _verified(docs: DataFrame, edges: DataFrame, k: int, t: int) -> DataFrame:
         sets = sets.join(keys, "sig", "left_semi")
     sets = stash(sets.groupBy("sig").agg(F.min("members").alias("members")))
     pairs = edges.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("p")), "a").join(sets.select(F.col("sig").alias("b"), F.col("members").alias("q")), "b")
-    return stash(pairs.select("a", "b", "p", "q").mapInArrow(_linked(t), "a binary, b binary"))
+    out = stash(pairs.select("a", "b", "p", "q").mapInArrow(_linked(t), "a binary, b binary"))
+    drop_stashes(keys, sets)
+    return out
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -327,10 +330,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
 
     # Postings of the groups. A group without another one of fitting size in the list leaves it; what
     # is left of groups with several members also needs the pairs within the group.
-    posted = ranked.where("n > 0 and size(prefix) > 0").select(F.explode("prefix").alias("list"), "g", F.col("n").cast("int").alias("n"))
+    # Two groups alone in a list must also fit by position: what follows their first common member bounds
+    # the overlap, and every linked pair passes in the list of its first common member.
+    posted = ranked.where("n > 0 and size(prefix) > 0").select("g", "n", F.posexplode("prefix").alias("pos", "list")).select("list", "g", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
     posted = posted.repartition("list").dropDuplicates(["list", "g"])
-    by_size = W.partitionBy("list").orderBy("n", "g")
-    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * t) | (F.col("n") * 100 >= F.lead("n").over(by_size) * t)
+    by_size = W.partitionBy("list").orderBy("at", "g")
+    posted = posted.withColumn("before", F.lag("at").over(by_size)).withColumn("after", F.lead("at").over(by_size)).withColumn("lists", F.count("*").over(W.partitionBy("list")))
+    n_of, pos_of = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF))
+
+    def fit(low, high):
+        size = n_of(high) * t <= n_of(low) * 100
+        most = F.least(n_of(low) - pos_of(low), n_of(high) - pos_of(high))
+        return size & ((F.col("lists") > 2) | (most * (100 + t) >= (n_of(low) + n_of(high)) * t))
+
+    fits = F.coalesce(fit("before", "at"), F.lit(False)) | F.coalesce(fit("at", "after"), F.lit(False))
     within = groups.where("members > 1").select(F.xxhash64("g", F.lit("within")).alias("list"), "g")
     shared = stash(posted.withColumn("fits", fits).where("fits").select("list", "g").union(within))
     rows = shared.join(classes.select("g", "sig", "n", "bits"), "g").drop("g")
@@ -349,22 +362,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
     labels = stash(labels)
     mixed = labels.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
     second = stash(edges(labels.join(mixed, "list", "left_semi"), False, ["comp"]).join(first, ["a", "b"], "left_anti"))
+    more = []
     if second.limit(1).count():
-        more = _verified(docs, second, k, t)
-        if more.limit(1).count():
-            comps = connected_components(linked.union(more))
+        more = [_verified(docs, second, k, t)]
+        if more[0].limit(1).count():
+            comps = connected_components(linked.union(more[0]))
     named = classes.select("sig", "least_id").join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = stash(named)
-    least = stash(named.groupBy("comp").agg(F.min("least_id").alias("component_id")))
-    named = stash(named.join(least, "comp").select("sig", "comp", "component_id"))
+    unnamed = stash(named)
+    least = stash(unnamed.groupBy("comp").agg(F.min("least_id").alias("component_id")))
+    named = stash(unnamed.join(least, "comp").select("sig", "comp", "component_id"))
+    drop_stashes(classes, groups, shared, sizes, first, labels, linked, second, unnamed, least, *more)
     out = meta.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "sig", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "sig", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out.rests_on = (meta, named)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, one of the least id. Texts without words all stay.
     Rows whose id is null or not unique are told apart by their sets."""
-    found = stash(jaccard_components(docs, k, t, id_col, text_col))
+    linked = jaccard_components(docs, k, t, id_col, text_col)
+    found = stash(linked)
+    drop_stashes(*linked.rests_on)
     stays = (F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))
     gone = found.where(~stays & F.col(id_col).isNotNull()).select(id_col).distinct()
     shared = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
