@@ -71,20 +71,19 @@ def ascii_lower(col):
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, comp): the least vertex that each vertex of the undirected edges can reach.
 
-    Min-label propagation plus pointer jumping, so the rounds grow with the logarithm of a
-    component's diameter. Each round is checkpointed in the shared folder. Null or equal ends are ignored.
+    Each round hooks a vertex to its least neighbour, jumps one pointer further, and contracts the edges;
+    edges within a component vanish, so later rounds see less and less. The rounds grow with the
+    logarithm of a component's size. Each is checkpointed in the shared folder. Null or equal ends are ignored.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    both = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both.union(both.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("comp")).checkpoint()
-    while True:
-        near = both.join(labels, "v").groupBy("u").agg(F.min("comp").alias("m")).select(F.col("u").alias("v"), "m")
-        step = labels.join(near, "v").select("v", F.least("comp", "m").alias("new"), "comp")
-        roots = step.select(F.col("v").alias("new"), F.col("new").alias("up"))
-        nxt = step.join(roots, "new").select("v", F.least("new", "up").alias("comp"), F.col("comp").alias("was")).checkpoint()
-        changed = nxt.where("comp != was").limit(1).count()
-        labels = nxt.select("v", "comp")
-        if not changed:
-            return labels
+    shared_dir(edges.sparkSession)
+    e = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct().checkpoint()
+    ends = e.select("u").union(e.select("v")).distinct()
+    comp = ends.select(F.col("u").alias("v"), F.col("u").alias("comp")).checkpoint()
+    while e.limit(1).count():
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("low"))
+        low = low.join(low.select(F.col("u").alias("low"), F.col("low").alias("lower")), "low").select("u", F.col("lower").alias("low")).checkpoint()
+        comp = comp.join(low.withColumnRenamed("u", "comp"), "comp", "left").select("v", F.coalesce("low", "comp").alias("comp")).checkpoint()
+        x = e.join(low.withColumnRenamed("low", "x"), "u").select("v", "x").join(low.select(F.col("u").alias("v"), F.col("low").alias("y")), "v")
+        e = x.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().checkpoint()
+    return comp
