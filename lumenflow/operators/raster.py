@@ -60,12 +60,15 @@ class Background:
 
 
 def label(on: np.ndarray, eight: bool) -> tuple[np.ndarray, int]:
-    """Connected components, numbered from 1 in row-major order of their first pixel."""
+    """Connected components, numbered from 1 in row-major order of their first pixel. Works on runs of rows."""
     h, w = on.shape
-    ys, xs = np.nonzero(on)
-    index = np.full((h, w), -1)
-    index[ys, xs] = np.arange(len(ys))
-    root = np.arange(len(ys))
+    p = np.zeros((h, w + 2), np.int8)
+    p[:, 1:-1] = on
+    d = np.diff(p, axis=1)
+    row, start = np.nonzero(d == 1)
+    end = np.nonzero(d == -1)[1]
+    first = np.searchsorted(row, np.arange(h + 1))
+    root, reach = list(range(len(row))), int(eight)
 
     def find(i):
         while root[i] != i:
@@ -73,16 +76,23 @@ def label(on: np.ndarray, eight: bool) -> tuple[np.ndarray, int]:
             i = root[i]
         return i
 
-    back = [(0, -1), (-1, 0)] + ([(-1, -1), (-1, 1)] if eight else [])
-    for i, (y, x) in enumerate(zip(ys, xs)):
-        for dy, dx in back:
-            if 0 <= y + dy and 0 <= x + dx < w and index[y + dy, x + dx] >= 0:
-                a, b = find(i), find(index[y + dy, x + dx])
+    for y in range(1, h):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if start[i] < end[j] + reach and start[j] < end[i] + reach:
+                a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    out, seen = np.zeros((h, w), np.int64), {}
-    for i, (y, x) in enumerate(zip(ys, xs)):
-        out[y, x] = seen.setdefault(find(i), len(seen) + 1)
-    return out, len(seen)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    out, names = np.zeros(h * w, np.int64), {}
+    if len(row):
+        of = np.array([names.setdefault(find(i), len(names) + 1) for i in range(len(row))])
+        n = end - start
+        at = np.repeat(row * w + start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        out[at] = np.repeat(of, n)
+    return out.reshape(h, w), len(names)
 
 
 def polygon_area(on: np.ndarray) -> float:
@@ -101,13 +111,18 @@ def detections(d: np.ndarray, config: Config) -> list[tuple[float, float, float]
     outside, _ = label(~np.pad(on, 1), False)  # background that reaches the frame's border
     filled = (outside != outside[0, 0])[1:-1, 1:-1]
     blobs, n = label(filled, True)
+    ys, xs = np.nonzero(blobs)
+    order = np.argsort(blobs[ys, xs], kind="stable")  # keeps row-major order within a blob
+    ys, xs = ys[order], xs[order]
+    cut = np.searchsorted(blobs[ys, xs], np.arange(1, n + 2))
     out = []
-    for i in range(1, n + 1):
-        blob = blobs == i
+    for a, b in zip(cut, cut[1:]):
+        y, x = ys[a:b], xs[a:b]
+        blob = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+        blob[y - y.min(), x - x.min()] = True
         area = polygon_area(blob)
-        ys, xs = np.nonzero(blob)
-        v = d[ys, xs]
+        v = d[y, x]
         if area >= config.min_area and v.max() > 0:
-            best = int(np.argmax(v))  # row-major: the first of equal peaks
-            out.append((float(xs[best]), float(ys[best]), area))
+            best = int(np.argmax(v))  # the first of equal peaks
+            out.append((float(x[best]), float(y[best]), area))
     return out
