@@ -115,13 +115,14 @@ def track(detections: DataFrame, config: Config, frames: DataFrame | None = None
     all frames, those without points included; without it a stream's frames are its first to its last. A
     stream is one task: each frame depends on the one before."""
     rows = detections.select("stream", "frame", "x", "y", "area")
-    if frames is not None:
+    spine = frames is not None
+    if spine:
         rows = frames.select("stream", "frame").join(rows, ["stream", "frame"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         by = {f: [tuple(map(float, r)) for r in g[["x", "y", "area"]].dropna().sort_values(["y", "x"]).itertuples(index=False)] for f, g in pdf.groupby("frame")}
         state, out = State(), []
-        for f in sorted(by) if frames is not None else range(int(min(by)), int(max(by)) + 1):
+        for f in sorted(by) if spine else range(int(min(by)), int(max(by)) + 1):
             out += [(pdf["stream"].iloc[0], int(f), i, *e) for i, e in enumerate(step(state, int(f), by.get(f, []), config, size))]
         return pd.DataFrame(out, columns=["stream", "emit_frame", "emit_seq", "frame_number", "track_id", "x", "y"]).astype({"track_id": "Int64"})
 
