@@ -71,7 +71,7 @@ def ascii_lower(col):
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, comp): the least vertex that each vertex of the undirected edges can reach.
 
-    Each round hooks a vertex to its least neighbour, jumps one pointer further, and contracts the edges;
+    Each round hooks a vertex to its least neighbour, jumps pointers to the chain's end, and contracts the edges;
     edges within a component vanish, so later rounds see less and less. The rounds grow with the
     logarithm of a component's size. Each is checkpointed in the shared folder. Null or equal ends are ignored.
     """
@@ -82,7 +82,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while e.limit(1).count():
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("low"))
-        low = low.join(low.select(F.col("u").alias("low"), F.col("low").alias("lower")), "low").select("u", F.col("lower").alias("low")).checkpoint()
+        low = low.checkpoint()
+        while True:  # to the end of the chain: even a path of rising ids is one vertex after this
+            end = low.join(low.select(F.col("u").alias("low"), F.col("low").alias("lower")), "low").select("u", "low", "lower").checkpoint()
+            moved = end.where("low != lower").limit(1).count()
+            low = end.select("u", F.col("lower").alias("low"))
+            if not moved:
+                break
         comp = comp.join(low.withColumnRenamed("u", "comp"), "comp", "left").select("v", F.coalesce("low", "comp").alias("comp")).checkpoint()
         x = e.join(low.withColumnRenamed("low", "x"), "u").select("v", "x").join(low.select(F.col("u").alias("v"), F.col("low").alias("y")), "v")
         e = x.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().checkpoint()
