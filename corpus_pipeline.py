@@ -19,9 +19,9 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the labelled ones teach; a missing label is filled by the prediction."""
-    found = lang_id.predict(docs, lang_id.train(docs))
-    kept = found.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = lang_id.predict(docs, lang_id.train(docs), pred_col="_lang", score_col="_score")
+    kept = found.where((F.col("_lang") != lang_id.UND) & (F.col("_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,17 +187,18 @@ def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text",
     return Model(labels, np.ascontiguousarray((w * idf[:, None]).T.astype(np.float32)), bias, float(grid[int(np.argmin(loss))]))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs plus lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs plus lang_pred and score, in place of columns of these names."""
+    docs = docs.drop(pred_col, score_col)
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for p in K.pieces(batches, text_col):
             names, score = sent.value.predict(p.column(p.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*p.columns, pa.array(names, pa.string()), pa.array(score)], [*p.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*p.columns, pa.array(names, pa.string()), pa.array(score)], [*p.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(run, extended(docs.schema, f"`{pred_col}` string, `{score_col}` double"))
 
 
 def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2):

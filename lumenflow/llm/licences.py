@@ -71,6 +71,7 @@ def known_digests(known=KNOWN) -> dict[str, str]:
 
 def look_up(docs: DataFrame, text_col: str = "text", known=KNOWN) -> DataFrame:
     """docs plus digest, licence (of the whole text) and notices (of its lines, sorted, comma-joined)."""
+    docs = docs.drop("digest", "licence", "notices")
     spark, digests = docs.sparkSession, known_digests(known)
     rows = ", ".join(f"('{d}', '{n}')" for d, n in digests.items())
     names = spark.sql(f"SELECT * FROM VALUES {rows} AS v(digest, licence)")  # Spark sees its size and sends it to all

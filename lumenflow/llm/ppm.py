@@ -241,6 +241,7 @@ def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: in
     """docs (id, text) plus n_tokens, n_known, train_tokens, base_score and score (log10 of the text's
     probability), learnt from training (text)."""
     spark = docs.sparkSession
+    docs = docs.drop("score", "n_tokens", "head_log", "head_known", "tail", "n_known", "train_tokens", "base_score")
     shared_dir(spark)
     small_batches(spark)
     counts = training.select("text").mapInArrow(_counts, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))

@@ -95,26 +95,26 @@ def cuts(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[in
     return found
 
 
-def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE, base_col: str = "base", found_col: str = "found") -> DataFrame:
     """docs plus base and found: arrays of (start, kind, end), kind an index of KINDS, sorted by start."""
     cut = cuts(docs, text_col, rate)
     d = judged_runs(docs, text_col)
     light = lambda e: f"transform({e}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end))"
     base = f"concat({_spans(0, ASSIGN, 12, 2)}, {_spans(1, ACCESS, 18, 0)}, {_spans(2, HEX, 16, 0, '[0-9a-f]{16,}').replace(_q(HEX), _q('[0-9a-f]{16,}'))})"
-    d = d.withColumn("base", F.expr(f"array_sort({light(base)})"))
+    d = d.withColumn(base_col, F.expr(f"array_sort({light(base)})"))
     level = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]) if cut else F.create_map().cast("map<int,double>")
     hits = F.filter("_judged", lambda r: r["target"] & ~r["decoy"] & (r["p"] >= F.try_element_at(level, r["band"])))
     d = d.withColumn("_more", hits)
-    return d.withColumn("found", F.expr(f"array_sort(concat(base, {light('_more')}))")).drop("_t", "_judged", "_more")
+    return d.withColumn(found_col, F.expr(f"array_sort(concat(`{base_col}`, {light('_more')}))")).drop("_t", "_judged", "_more")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of its text replaced; overlapping spans are replaced once. Null stays null."""
-    d = scan(docs, text_col)
-    cutout = f"""aggregate(found, named_struct('at', 0, 'out', ''), (s, x) -> IF(x.end <= s.at, s,
+    d = scan(docs, text_col, base_col="_base", found_col="_found")
+    cutout = f"""aggregate(_found, named_struct('at', 0, 'out', ''), (s, x) -> IF(x.end <= s.at, s,
         named_struct('at', x.end, 'out', concat(s.out, IF(x.start >= s.at, concat(substring({text_col}, s.at + 1, x.start - s.at), {_q(mark)}), '')))),
         s -> concat(s.out, substring({text_col}, s.at + 1)))"""
-    return d.withColumn(text_col, F.expr(f"IF(size(found) = 0, {text_col}, {cutout})")).drop("base", "found")
+    return d.withColumn(text_col, F.expr(f"IF(size(_found) = 0, {text_col}, {cutout})")).drop("_base", "_found")
 
 
 def _joined(col: str) -> str:
