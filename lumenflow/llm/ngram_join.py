@@ -411,4 +411,19 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+#: Equal sets are one class here, too; the pairs of classes are all counted.
+SQL = {"op8_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p : p + 2], ' ')) END)) AS g FROM d),
+c AS (SELECT row_number() OVER () AS c, g, len(g) AS n, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT c, n, unnest(g) AS x FROM c),
+e AS (SELECT a.c AS a, b.c AS b FROM u a JOIN u b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+      GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(c, r) AS (SELECT c, c FROM c UNION SELECT both_.b, reach.r FROM reach JOIN both_ ON both_.a = reach.c),
+named AS (SELECT reach.c, min(c.least) AS component_id FROM reach JOIN c ON c.c = reach.r GROUP BY reach.c)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(named.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN named ON named.c = c.c
+"""}

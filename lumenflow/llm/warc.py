@@ -137,4 +137,12 @@ def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc_roundtrip": op4_warc_roundtrip}
-SQL: dict[str, str] = {}
+SQL = {"op4_warc_roundtrip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+r AS (SELECT *, coalesce(page_id IS NULL AND top IS NOT NULL OR page_id < top, false) AS again FROM t)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(x, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))::INT & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to
+FROM r
+"""}
