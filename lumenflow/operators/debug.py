@@ -26,6 +26,24 @@ def patched(buffer: DataFrame, late: DataFrame) -> DataFrame:
     return both.groupBy("stream", "frame", "track").agg(F.max_by(F.struct("x", "y"), "p").alias("c")).select("stream", "frame", "track", "c.x", "c.y")
 
 
+def shown(events: DataFrame, buffer: int = 0) -> DataFrame:
+    """(stream, frame, track, x, y) of the boxes in a view that is written `buffer` frames late: what an event says of an
+    earlier frame counts while that frame is held, and the last word on a track stands. Up to 1 nothing is held."""
+    held = events.where(F.col("track_id").isNotNull() & (F.col("emit_frame") - F.col("frame_number") < max(buffer, 1)))
+    last = held.groupBy("stream", F.col("frame_number").alias("frame"), F.col("track_id").alias("track")).agg(F.max_by(F.struct("x", "y"), F.struct("emit_frame", "emit_seq")).alias("c"))
+    return last.select("stream", "frame", "track", "c.x", "c.y")
+
+
+def visible_segments(events: DataFrame, buffer: int = 0) -> DataFrame:
+    """(stream, track, x1, y1, x2, y2, visible_from) of the lines between a track's successive live points; replayed
+    points draw none. A view written late shows what came before it was written, so a line appears `buffer` frames early."""
+    order = W.partitionBy("stream", "track_id").orderBy("emit_frame", "emit_seq")
+    live = events.where(F.col("track_id").isNotNull() & (F.col("emit_frame") == F.col("frame_number")))
+    live = live.select("stream", F.col("track_id").alias("track"), F.lag(F.col("x").cast("int")).over(order).alias("x1"), F.lag(F.col("y").cast("int")).over(order).alias("y1"),
+                       F.col("x").cast("int").alias("x2"), F.col("y").cast("int").alias("y2"), (F.col("emit_frame") - (buffer if buffer > 1 else 0)).alias("visible_from"))
+    return live.where("x1 IS NOT NULL")
+
+
 def segments(points: DataFrame) -> DataFrame:
     """Whole-pixel line segments between a stream's successive points."""
     order = W.partitionBy("stream").orderBy("frame", "i")

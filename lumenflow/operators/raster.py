@@ -15,6 +15,44 @@ def gray(frame: np.ndarray) -> np.ndarray:
     return ((b * 3735 + g * 19235 + r * 9798 + 16384) >> 15).astype(np.uint8)
 
 
+def _area_weights(old: int, new: int) -> np.ndarray:
+    """Share of each old pixel in each new one, by the length they have in common."""
+    edge, at = np.arange(new + 1) * (old / new), np.arange(old)
+    w = np.clip(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0, None)
+    return w / w.sum(1, keepdims=True)
+
+
+def _linear_weights(old: int, new: int) -> np.ndarray:
+    """Weights of the two old pixels around each new pixel's centre; at the border the last one counts alone."""
+    x = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+    i = x.astype(int)
+    w = np.zeros((new, old))
+    np.add.at(w, (np.arange(new), i), 1 - (x - i))
+    np.add.at(w, (np.arange(new), np.minimum(i + 1, old - 1)), x - i)
+    return w
+
+
+def resize(frame: np.ndarray, height: int | None) -> np.ndarray:
+    """The frame at another height with its aspect kept: area means when it shrinks, linear when it grows.
+    None or the frame's own height change nothing. Halves round to even."""
+    if height is not None and height <= 0:
+        raise ValueError("height must be positive")
+    h, w = frame.shape[:2]
+    if height is None or height == h:
+        return frame
+    width, weights = max(1, round(w * (height / h))), _area_weights if height < h else _linear_weights
+    x = (weights(h, height) @ frame.reshape(h, -1)).reshape(height, w, -1)
+    x = np.einsum("nw,hwc->hnc", weights(w, width), x)
+    return np.clip(np.rint(np.round(x, 9)), 0, 255).astype(np.uint8).reshape(height, width, *frame.shape[2:])
+
+
+def static_mask(h: int, w: int, box: tuple[float, float, float, float]) -> np.ndarray:
+    """False inside the box (x1, y1, x2, y2), given as shares of width and height."""
+    keep = np.ones((h, w), bool)
+    keep[int(h * box[1]) : int(h * box[3]), int(w * box[0]) : int(w * box[2])] = False
+    return keep
+
+
 def morph(a: np.ndarray, k: int, biggest: bool) -> np.ndarray:
     out = None
     c = k

@@ -12,28 +12,46 @@ from ..config import Config
 from . import raster
 from .tracker import EVENTS, State, step
 
+EVENT_COLUMNS = ["stream", "emit_frame", "emit_seq", "frame_number", "track_id", "x", "y"]
 
-def detect(frames: DataFrame, config: Config, mask: tuple[float, float, float, float] | None = None) -> DataFrame:
+
+class Detector:
+    """One stream's background and tracks; `advance` takes its frames in order."""
+
+    def __init__(self, config: Config, mask: tuple[float, float, float, float] | None = None, target_height: int | None = None):
+        if target_height is not None and target_height <= 0:
+            raise ValueError("target_height must be positive")
+        self.config, self.mask, self.target_height = config, mask, target_height
+        self.state, self.background, self.size = State(), raster.Background(config), None
+
+    def advance(self, frame: int, image: np.ndarray) -> list[tuple]:
+        """Resized, masked, compared with the background, and tracked: the frame's events."""
+        g = raster.gray(raster.resize(image, self.target_height))
+        keep = None if self.mask is None else raster.static_mask(*g.shape, self.mask)
+        g = g if keep is None else np.where(keep, g, 0).astype(np.uint8)
+        if self.size is None:
+            self.size = float(max(g.shape))
+        return step(self.state, frame, raster.detections(self.background.diff(g, keep), self.config), self.config, self.size)
+
+
+def image_of(row) -> np.ndarray:
+    return np.frombuffer(row.data, np.uint8).reshape((row.height, row.width, row.channels) if row.channels > 1 else (row.height, row.width))
+
+
+def detect(frames: DataFrame, config: Config, mask: tuple[float, float, float, float] | None = None, target_height: int | None = None) -> DataFrame:
     """Events of every stream. Rows of a stream are sorted by Spark and consumed one Arrow batch at a time, so a
-    task holds one background and one batch, not a stream."""
+    task holds one background and one batch, not a stream. mask: a box (x1, y1, x2, y2) of the resized frame that is left out."""
+    Detector(config, mask, target_height)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, state, bg, size = None, State(), raster.Background(config), None
+        stream, detector = None, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.stream != stream:
-                    stream, state, bg, size = r.stream, State(), raster.Background(config), float(max(r.height, r.width))
-                a = np.frombuffer(r.data, np.uint8).reshape((r.height, r.width, r.channels) if r.channels > 1 else (r.height, r.width))
-                keep = None
-                if mask is not None:
-                    keep = np.ones((r.height, r.width), bool)
-                    keep[int(r.height * mask[1]) : int(r.height * mask[3]), int(r.width * mask[0]) : int(r.width * mask[2])] = False
-                g = raster.gray(a)
-                g = g if keep is None else np.where(keep, g, 0).astype(np.uint8)
-                points = raster.detections(bg.diff(g, keep), config)
-                out += [(stream, r.frame, i, *e) for i, e in enumerate(step(state, int(r.frame), points, config, size))]
-            yield pd.DataFrame(out, columns=["stream", "emit_frame", "emit_seq", "frame_number", "track_id", "x", "y"]).astype({"track_id": "Int64"})
+                if detector is None or r.stream != stream:
+                    stream, detector = r.stream, Detector(config, mask, target_height)
+                out += [(stream, r.frame, i, *e) for i, e in enumerate(detector.advance(int(r.frame), image_of(r)))]
+            yield pd.DataFrame(out, columns=EVENT_COLUMNS).astype({"track_id": "Int64"})
 
     ordered = frames.select("stream", "frame", "height", "width", "channels", "data").repartition("stream").sortWithinPartitions("stream", "frame")
     return ordered.mapInPandas(run, EVENTS)

@@ -259,6 +259,24 @@ def buffer_patch(spark, sf_dir):
     return debug.patched(take(p.where("i % 2 = 0"), F.max), take(p.where("i % 3 = 0"), F.min))
 
 
+_LATE = f"{POINTS}, ev AS (SELECT stream, frame + i % 4 AS emit_frame, i AS emit_seq, frame AS frame_number, i % 10 AS track_id, x, y FROM pts)"
+
+
+def _late(spark, sf_dir):
+    i = F.col("i")
+    return points(spark, sf_dir).select("stream", (F.col("frame") + i % 4).alias("emit_frame"), i.alias("emit_seq"), F.col("frame").alias("frame_number"), (i % 10).alias("track_id"), "x", "y")
+
+
+@query(f"WITH {_LATE} SELECT stream, frame_number AS frame, track_id AS track, x, y FROM ev WHERE emit_frame - frame_number < 3 QUALIFY row_number() OVER (PARTITION BY stream, frame_number, track_id ORDER BY emit_frame DESC, emit_seq DESC) = 1")
+def buffered_view(spark, sf_dir):
+    return debug.shown(_late(spark, sf_dir), 3)
+
+
+@query(f"WITH {_LATE}, s AS (SELECT stream, track_id AS track, lag(trunc(x)::INT) OVER w AS x1, lag(trunc(y)::INT) OVER w AS y1, trunc(x)::INT AS x2, trunc(y)::INT AS y2, emit_frame - 3 AS visible_from FROM ev WHERE emit_frame = frame_number WINDOW w AS (PARTITION BY stream, track_id ORDER BY emit_frame, emit_seq)) SELECT * FROM s WHERE x1 IS NOT NULL")
+def visible_segments(spark, sf_dir):
+    return debug.visible_segments(_late(spark, sf_dir), 3)
+
+
 @query("SELECT user_id AS track, [0, 255, 0, 255, 255, 0, 128, 255][k] AS b, [255, 0, 0, 255, 0, 255, 255, 128][k] AS g, [0, 0, 255, 0, 255, 255, 0, 0][k] AS r FROM (SELECT DISTINCT user_id, user_id % 8 + 1 AS k FROM events)")
 def track_colour_(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("track")).distinct().select("track", track_colour(F.col("track")).alias("c")).select("track", "c.*")

@@ -7,7 +7,7 @@ import os
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FRAMES = "stream string, frame long, height int, width int, channels int, data binary"
 SUFFIXES = (".mkv", ".mp4")
@@ -49,7 +49,9 @@ def moving_spot(streams: DataFrame, h: int, w: int, blank: int = 40, motion: int
 
 
 class NpyFrames(DataSource):
-    """spark.read.format("npy_frames").load(dir): one .npy file a stream, shape (frames, height, width[, 3]), uint8."""
+    """spark.read.format("npy_frames").load(dir): one .npy file a stream, shape (frames, height, width[, 3]), uint8.
+    readStream takes the files up as they come, and further frames of files that have grown. Write a file under
+    another suffix and rename it."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,6 +63,9 @@ class NpyFrames(DataSource):
     def reader(self, schema):
         return _NpyReader(self.options)
 
+    def streamReader(self, schema):
+        return _NpyStream(self.options)
+
 
 class _Chunk(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
@@ -88,3 +93,20 @@ class _NpyReader(DataSourceReader):
         for i in range(part.start, part.stop):
             f = np.ascontiguousarray(a[i])
             yield name, i, f.shape[0], f.shape[1], f.shape[2] if f.ndim == 3 else 1, f.tobytes()
+
+
+class _NpyStream(_NpyReader, DataSourceStreamReader):
+    """An offset is the number of frames of each file."""
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        names = sorted(n for n in os.listdir(self.path) if n.endswith(".npy"))
+        return {n: int(np.load(os.path.join(self.path, n), mmap_mode="r").shape[0]) for n in names}
+
+    def partitions(self, start: dict, end: dict):
+        out = []
+        for name, n in end.items():
+            out += [_Chunk(os.path.join(self.path, name), i, min(i + self.step, n)) for i in range(start.get(name, 0), n, self.step)]
+        return out or [_Chunk("", 0, 0)]

@@ -9,7 +9,7 @@ from lumenflow.config import COMMAND_LINE, LIBRARY, Config
 from lumenflow.operators import debug, intervals, pixels as P, raster, tracker, video
 from lumenflow.operators.tracker import State, Track, assign, step
 from lumenflow.sources.frames import NpyFrames, check_video_path, moving_spot
-from lumenflow.streaming.tracking import track_stream
+from lumenflow.streaming.tracking import detect_stream, track_stream
 
 SQL = plans.oracle_sql()
 SCENE = Config(alpha=0.3, min_area=10, kernel=3, max_distance=50.0, min_distance=2.0, max_missed=3, min_span_ratio=0.0)
@@ -173,6 +173,53 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(repr, spark.table(name).collect())) == want
 
 
+def test_resize():
+    a = np.arange(48, dtype=np.uint8).reshape(6, 8)
+    assert raster.resize(a, None) is a and raster.resize(a, 6) is a
+    assert (raster.resize(a, 3) == np.rint(a.reshape(3, 2, 4, 2).mean((1, 3)))).all()
+    assert raster.resize(a, 4).shape == (4, 5) and raster.resize(a, 1).shape == (1, 1)
+    assert raster.resize(np.dstack([a] * 3), 9).shape == (9, 12, 3)
+    flat = np.full((5, 7, 3), 77, np.uint8)
+    assert (raster.resize(flat, 11) == 77).all() and (raster.resize(flat, 2) == 77).all()
+    assert raster.resize(np.array([[0, 100]], np.uint8), 2).tolist() == [[0, 25, 75, 100]] * 2
+    with pytest.raises(ValueError):
+        raster.resize(a, 0)
+
+
+def test_mask_and_height_of_videos(spark):
+    f = moving_spot(spark.createDataFrame([("s", 5, 0)], "stream string, radius int, noise int"), 120, 160, blank=4, motion=12)
+    c = Config(alpha=0.3, min_area=5, max_distance=60.0, min_distance=1.0)
+    half = video.detect(f, c, target_height=60).where("track_id IS NOT NULL")
+    assert half.count() >= 8 and half.agg(F.max("y")).first()[0] < 60
+    assert not video.detect(f, c, mask=(0, 0, 1, 1)).where("track_id IS NOT NULL").count()
+    with pytest.raises(ValueError):
+        video.detect(f, c, target_height=0)
+
+
+def test_dense_stream_equals_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    f = moving_spot(spark.createDataFrame([("a", 5, 0), ("b", 4, 9)], "stream string, radius int, noise int"), 60, 80, blank=3, motion=10)
+    c = Config(alpha=0.3, min_area=10, max_distance=60.0, min_distance=1.0)
+    want = sorted(map(repr, video.detect(f, c, target_height=48).collect()))
+    rows = f.orderBy("frame").collect()
+    images = {s: np.stack([video.image_of(r) for r in rows if r.stream == s]) for s in "ab"}
+    spark.dataSource.register(NpyFrames)
+    name = f"dense_{int(time.time())}"
+
+    def go_on():
+        src = spark.readStream.format("npy_frames").option("frames_per_task", 4).load(str(tmp_path / "in"))
+        sink = detect_stream(src, c, target_height=48).writeStream.format("parquet").option("path", str(tmp_path / name))
+        assert (q := sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()).awaitTermination(120)
+        assert q.exception() is None
+
+    np.save(tmp_path / "in/a.npy", images["a"][:5])
+    go_on()
+    np.save(tmp_path / "in/a.npy", images["a"])  # grown
+    np.save(tmp_path / "in/b.npy", images["b"])
+    go_on()
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / name)).collect())) == want
+
+
 def test_clip_rules(spark):
     assert intervals.range_columns(["file", "begin_s", "end_s", "Start2", "stop2"]) == ("Start2", "stop2")
     with pytest.raises(ValueError):
