@@ -1,14 +1,15 @@
 """Secret scans: fixed patterns plus a randomness test battery with length-aware false-discovery control.
 
 Patterns give the base spans (kinds assign, access, hex; the whole match, in code points, end
-exclusive). The battery looks at every run of 20 or more characters of the base-64 alphabets. Its
-encoding is inferred (base 16, 32 or 64). Three tests ask whether the symbols could be uniform random:
-chi-squared uniformity over the alphabet, runs above and below the middle symbol, and serial
-correlation of neighbouring symbols. p is the least of the three p-values, times three.
+exclusive). The battery looks at every run of 20 or more characters of the base-64 alphabets: at the whole, and
+where it has separators (- or _) also at each part of 20 or more characters, and at all hex digits together if there are
+no others (as in UUIDs; other short parts together are too like names of several words). The encoding is the smallest that the characters present allow (base 16, 32, 36, 58, 62 or 64; 16 to 36 in either case).
+Three tests ask whether the symbols could be uniform random: chi-squared uniformity over the alphabet, runs above and
+below the middle symbol, and serial correlation of neighbouring symbols. p is the least of the three p-values, times three.
 
 False discoveries are controlled per band of lengths: runs of letters of one case (a leading capital
-aside) are decoys, they are prose; runs that hold a digit and a letter, or both cases within, are
-targets. Targets with p of at least a band's cut are reported as kind random; the cut is the least one at which
+and separators aside) are decoys, they are prose; runs that hold a digit and a letter, or both cases within, are
+targets. A part found within a whole that is found is not reported again. Targets with p of at least a band's cut are reported as kind random; the cut is the least one at which
 decoys are at most RATE of the targets. Counts per band and 1/100 of p are all that is gathered.
 
 Only DataFrame functions are used. A null text is empty. Repeated rows give repeated rows; extra
@@ -26,9 +27,16 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PART = r"[A-Za-z0-9+/]{20}"
 RATE, LEAST_P = 0.05, 0.01
 KINDS = ("assign", "access", "hex", "random")
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {
+    16: "0123456789abcdef", 32: "abcdefghijklmnopqrstuvwxyz234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz",
+    58: "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+#: The smallest encoding that the characters allow, by the first pattern that fits.
+ENCODINGS = ((16, "[0-9]*([a-f][0-9a-f]*|[A-F][0-9A-F]*)"), (32, "[a-z2-7]+|[A-Z2-7]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (58, "[1-9A-HJ-NP-Za-km-z]+"), (62, "[A-Za-z0-9]+"))
 
 
 def _q(s: str) -> str:
@@ -53,15 +61,24 @@ def _tail(z: str) -> str:
     return f"1 / (1 + exp(least(1.5976 * ({z}) + 0.070566 * pow({z}, 3), 700)))"
 
 
-#: A run `c.hit` to its encoding, length band, role and p.
-_JUDGE = f"""transform(_runs, c -> aggregate(array(named_struct('s', translate(rtrim('=', c.hit), '-_', '+/'), 'k',
-    CASE WHEN c.hit RLIKE '^[0-9]*[a-f][0-9a-f]*$' OR c.hit RLIKE '^[0-9]*[A-F][0-9A-F]*$' THEN 16 WHEN c.hit RLIKE '^[A-Z2-7]+=*$' THEN 32 ELSE 64 END)),
+#: Runs to the forms that are judged: (start, end, s); the whole first, so that what it holds comes after it.
+_FORMS = f"""flatten(transform(_runs, c -> aggregate(array(rtrim('=', c.hit)), CAST(array() AS array<struct<start:int,end:int,s:string>>), (none, h) -> concat(
+    array(named_struct('start', c.start, 'end', c.end, 's', h)),
+    IF(h RLIKE '[_-]' AND h RLIKE '^([0-9a-f_-]+|[0-9A-F_-]+)$' AND length(translate(h, '-_', '')) >= 20, array(named_struct('start', c.start, 'end', c.end, 's', translate(h, '-_', ''))), none),
+    IF(h RLIKE '[_-]' AND h RLIKE {_q(PART)}, aggregate(split(h, '[_-]'), named_struct('at', c.start, 'out', none),
+      (o, y) -> named_struct('at', o.at + length(y) + 1, 'out', IF(length(y) >= 20, concat(o.out, array(named_struct('start', o.at, 'end', o.at + length(y), 's', y))), o.out))).out, none)))))"""
+
+_ENCODING = "CASE " + " ".join(f"WHEN c.s RLIKE '^({p})$' THEN {k}" for k, p in ENCODINGS) + " ELSE 64 END"
+_ALPHABET = "CASE e.k " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in ALPHABETS.items()) + " END"
+
+#: A form `c` to its length band, role and p.
+_JUDGE = f"""transform(_forms, c -> aggregate(array(named_struct('s', translate(c.s, '-_', '+/'), 'k', {_ENCODING})),
   named_struct('start', c.start, 'kind', 3, 'end', c.end, 'band', 0, 'decoy', false, 'target', false, 'p', 0.0D),
   (z, e) -> aggregate(array(named_struct('n', length(e.s), 'k', e.k, 'x',
-      transform(split(IF(e.k = 16, lower(e.s), e.s), ''), y -> CAST(instr(CASE e.k WHEN 16 THEN '{ALPHABETS[16]}' WHEN 32 THEN '{ALPHABETS[32]}' ELSE '{ALPHABETS[64]}' END, y) - 1 AS DOUBLE)),
+      transform(split(IF(e.k <= 36, lower(e.s), e.s), ''), y -> CAST(instr({_ALPHABET}, y) - 1 AS DOUBLE)),
       'same', aggregate(split(e.s, ''), 0, (a, y) -> a + length(e.s) - length(replace(e.s, y, ''))))), z,
     (o, v) -> named_struct('start', c.start, 'kind', 3, 'end', c.end, 'band', CAST(floor(2 * log2(v.n / 20.0D)) AS INT),
-      'decoy', c.hit RLIKE '^[A-Za-z][a-z]+$|^[A-Z]+$', 'target', c.hit RLIKE '[0-9]' AND c.hit RLIKE '[A-Za-z]' OR c.hit RLIKE '[a-z]' AND c.hit RLIKE '.[A-Z]',
+      'decoy', c.s RLIKE '^[A-Za-z][a-z]+([_-][a-z]+)*$|^[A-Z]+([_-][A-Z]+)*$', 'target', c.s RLIKE '[0-9]' AND c.s RLIKE '[A-Za-z]' OR c.s RLIKE '[a-z]' AND c.s RLIKE '.[A-Z]',
       'p', least(1.0D, 3 * least(
         {_tail("(v.k * v.same / CAST(v.n AS DOUBLE) - v.n - (v.k - 1)) / sqrt(2.0D * (v.k - 1) * (v.n - 1) / v.n)")},
         2 * ({_tail("abs(aggregate(sequence(1, v.n - 1), 0, (a, i) -> a + IF((v.x[i] * 2 >= v.k) = (v.x[i - 1] * 2 >= v.k), 0, 1)) - (v.n - 1) / 2.0D) / sqrt((v.n - 1) / 4.0D)")}),
@@ -70,9 +87,9 @@ _JUDGE = f"""transform(_runs, c -> aggregate(array(named_struct('s', translate(r
 
 
 def judged_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_judged`: all runs with band, role and p."""
+    """docs with `_judged`: the forms of all runs with band, role and p."""
     d = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    return d.withColumn("_runs", F.expr(_spans(3, RUN, 20))).withColumn("_judged", F.expr(_JUDGE)).drop("_runs")
+    return d.withColumn("_runs", F.expr(_spans(3, RUN, 20))).withColumn("_forms", F.expr(_FORMS)).withColumn("_judged", F.expr(_JUDGE)).drop("_runs", "_forms")
 
 
 def cuts(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, float]:
@@ -104,8 +121,9 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE, base_col:
     d = d.withColumn(base_col, F.expr(f"array_sort({light(base)})"))
     level = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]) if cut else F.create_map().cast("map<int,double>")
     hits = F.filter("_judged", lambda r: r["target"] & ~r["decoy"] & (r["p"] >= F.try_element_at(level, r["band"])))
-    d = d.withColumn("_more", hits)
-    return d.withColumn(found_col, F.expr(f"array_sort(concat(`{base_col}`, {light('_more')}))")).drop("_t", "_judged", "_more")
+    outer = "aggregate(_hits, named_struct('at', 0, 'out', filter(_hits, x -> false)), (s, x) -> IF(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, array(x))))).out"
+    d = d.withColumn("_hits", hits).withColumn("_more", F.expr(outer))
+    return d.withColumn(found_col, F.expr(f"array_sort(concat(`{base_col}`, {light('_more')}))")).drop("_t", "_judged", "_hits", "_more")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -162,6 +162,27 @@ def test_randomness_battery(spark):
     assert len(hit & set(range(60))) >= 50 and not hit - set(range(60))
 
 
+def test_randomness_battery_knows_every_alphabet(spark):
+    rng = np.random.default_rng(3)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "b32": low + "234567", "B32": low.upper() + "234567", "b36": low + digits, "B36": low.upper() + digits,
+             "b58": "".join(c for c in low + low.upper() + digits if c not in "0OIl"), "b62": low + low.upper() + digits, "b64": low + low.upper() + digits + "+/", "url": low + low.upper() + digits + "-_"}
+    key = lambda k, n: "".join(rng.choice(list(kinds[k]), n))
+    rows = [(f"{k}{n}", f"x {key(k, n)} y") for k in kinds for n in (32, 40, 64, 128) for _ in range(30)]
+    h = lambda n: key("hex", n)
+    rows += [("uuid", f"x {h(8)}-{h(4)}-4{h(3)}-a{h(3)}-{h(12)} y") for _ in range(30)] + [("prefix", f"x key-{h(32)} y") for _ in range(30)] + [("live", f"x sk_live_{key('b36', 32)} y") for _ in range(30)]
+    words = "the quick international organisation of standards has made many long names that people read".split()
+    rows += [(k, "x " + "-".join(rng.choice(words, 6)) + end) for k, end in (("slug", " y"), ("slug", "-2 y")) for _ in range(100)]
+    hit, spans = collections.Counter(), set()
+    for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        found = [s for s in r.found if s.kind == 3]
+        assert len(found) <= 1 or r.doc_id in ("url32", "url40", "url64", "url128")
+        hit[r.doc_id] += bool(found)
+        spans |= {(r.doc_id, s.start, s.end) for s in found if r.doc_id == "prefix"}
+    assert all(hit[k] >= 25 for k, _ in rows if k != "slug") and hit["slug"] <= 10
+    assert spans == {("prefix", 6, 38)}
+
+
 def test_redaction_keeps_rows(odd, none):
     out = {r.doc_id: r for r in secret_scan.redact(odd).where("doc_id IS NOT NULL").collect()}
     assert out[9].text == "[SECRET]\"" and out[5].text == rows()[5][1] and out[0].text is None and out[5].base == "y"
