@@ -2,7 +2,9 @@
 
 A text is normalised (ASCII case, copyright lines, equivalent spellings, punctuation and white space) and
 hashed; whole texts join the digests of known licences by hash. Single lines that mention a licence are looked up
-among the same digests as well.
+among the same digests as well. Short licences are known under their usual titles, with and without a line that
+reserves all rights, and wrapped at the usual widths (a wrapped line may start with "copyright", which the normal form
+takes for a notice); long ones by the full texts in licence_texts, with and without what follows their terms.
 
 A null text has no digest and no licence; an empty text has the digest of the empty string. Repeated
 rows give repeated rows; extra columns stay; empty tables give no rows.
@@ -11,7 +13,10 @@ rows give repeated rows; extra columns stay; empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import pkgutil
 import re
+import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +44,46 @@ _BSD2 = """Redistribution and use in source and binary forms, with or without mo
 _BSD3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-#: Known texts by licence: fixed values.
-KNOWN = (
-    ("MIT", _MIT), ("MIT", "The MIT License\n\n" + _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "Released under the MIT License."),
-    ("ISC", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END),
-    ("0BSD", _ISC_GRANT + ".\n\n" + _ISC_END), ("BSD-2-Clause", f"{_BSD2}\n\n{_BSD_END}"), ("BSD-3-Clause", f"{_BSD2}\n\n{_BSD3}\n\n{_BSD_END}"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+_SHORT_ISC = _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_END
+_OWNER = _BSD_END.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")
+#: Short licences: titles and bodies.
+SHORT = (
+    ("MIT", ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"), (_MIT,)),
+    ("ISC", ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"), (_SHORT_ISC, _SHORT_ISC.replace("and/or distribute", "and distribute"))),
+    ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"), (_ISC_GRANT + ".\n\n" + _ISC_END,)),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "The BSD License"), tuple(f"{_BSD2}\n\n{e}" for e in (_BSD_END, _OWNER))),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License", "The BSD License"), tuple(f"{_BSD2}\n\n{_BSD3}\n\n{e}" for e in (_BSD_END, _OWNER))),
 )
+#: Licences whose full texts are in licence_texts.
+LONG = ("Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "BSD-3-Clause", "Unlicense")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+RIGHTS = "All rights reserved."
+
+
+def _wraps(body: str) -> list[str]:
+    """The body as it stands, with and without numbers of its clauses, and wrapped at 60 to 80 characters."""
+    bodies = (body, re.sub(r"(?m)^[0-9]\. ", "* ", body))
+    return [*bodies, *("\n\n".join(textwrap.fill(x, w, subsequent_indent=ind, break_on_hyphens=False) for x in b.split("\n\n")) for b in bodies for w in range(60, 81) for ind in ("", "   "))]
+
+
+def _short_texts():
+    for name, titles, bodies in SHORT:
+        forms = {normalise(w): w for body in bodies for w in _wraps(body)}
+        for title, rights, body in itertools.product(("", *titles), ("", RIGHTS), forms.values()):
+            yield name, "\n\n".join(x for x in (title, rights, body) if x)
+
+
+def _long_texts():
+    for name in LONG:
+        text = pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()
+        yield name, text
+        head, end, _ = text.partition(TERMS_END)
+        if end:
+            yield name, head + end
+            yield name, head
+        if name == "BSD-3-Clause":  # its title and the line that reserves all rights
+            yield from ((name, title + "\n\n" + body) for title in SHORT[4][1] for body in (text, text.replace(RIGHTS, "", 1)))
+            yield name, text.replace(RIGHTS, "", 1)
 
 
 def normalise(text: str) -> str:
@@ -57,6 +95,13 @@ def normalise(text: str) -> str:
     return re.sub("[^0-9a-z\x80-\U0010ffff]+", " ", t).strip(" ")
 
 
+#: Known texts by licence: fixed values.
+KNOWN = (
+    ("MIT", _MIT), *_short_texts(), *_long_texts(), ("MIT", "Released under the MIT License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+)
+
+
 def canonical(col):
     """The digest of a text column's normal form."""
     t = F.regexp_replace(ascii_lower(col), COPYRIGHT, "$1")
@@ -75,7 +120,7 @@ def look_up(docs: DataFrame, text_col: str = "text", known=KNOWN) -> DataFrame:
     spark, digests = docs.sparkSession, known_digests(known)
     rows = ", ".join(f"('{d}', '{n}')" for d, n in digests.items())
     names = spark.sql(f"SELECT * FROM VALUES {rows} AS v(digest, licence)")  # Spark sees its size and sends it to all
-    of = F.create_map(*[F.lit(x) for kv in digests.items() for x in kv])
+    of = F.expr("str_to_map('" + ",".join(f"{d}:{n}" for d, n in digests.items()) + "')")
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike(MENTION))
     found = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(of, canonical(x))), lambda x: x.isNotNull()))), ",")
     d = docs.withColumn("digest", canonical(F.col(text_col))).withColumn("notices", F.when(F.col(text_col).rlike(MENTION), found).otherwise(""))

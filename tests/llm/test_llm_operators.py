@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pkgutil
 import re
 
 import numpy as np
@@ -137,6 +138,22 @@ def test_licences(spark, odd, none):
         assert got == hashlib.sha256(licences.normalise(t).encode()).hexdigest()
 
 
+def test_whole_licence_files(spark):
+    text = {k: pkgutil.get_data("lumenflow.llm", f"licence_texts/{k}.txt").decode() for k in licences.LONG}
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + licences._ISC_END
+    bsd = f"{licences._BSD2}\n\n{licences._BSD3}\n\n{licences._BSD_END}"
+    d = [(k, t) for k, t in text.items()] + [("Apache-2.0", text["Apache-2.0"].split(licences.TERMS_END)[0] + licences.TERMS_END + "\n"), ("GPL-3.0", text["GPL-3.0"].replace("https:", "http:"))]
+    d += [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + licences._MIT), ("ISC", "ISC License\n\nCopyright (c) 2020, Me\n\n" + isc), ("ISC", isc)]
+    d += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n" + x) for x in (bsd, re.sub(r"(?m)^\d\. ", "* ", bsd))]
+    d += [("BSD-2-Clause", f"Copyright 2020 Me\nAll rights reserved.\n\n{licences._BSD2}\n\n{licences._BSD_END}"), (None, text["GPL-2.0"].replace("Program", "Thing", 1)), (None, "All rights reserved."), (None, "MIT License")]
+    got = licences.look_up(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(d)], "i int, want string, text string")).collect()
+    assert len(got) == len(d) and [(r.i, r.licence) for r in got if r.licence != r.want] == []
+
+
 def base_spans(x):
     words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey"))
     a = [(m.start(), 0, m.end()) for m in re.finditer(rf"({words})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", x) if len(m[2]) >= 12]
