@@ -9,7 +9,9 @@ With a finished trie the symbols excluded at a level are those of the next longe
 denominator belongs to that context: one table look-up a byte, and a few more for escapes.
 
 The trie is sent to the tasks in parts of at most PART contexts-with-symbol; contexts of one part are
-scored in one pass over the texts, so no task holds more, at any size. The unigram base uses counts of
+scored in one pass over the texts, so no task holds more, at any size. A context is a number whose highest byte is the one
+next to the symbol, and a part is a range of the two highest: so it holds the shorter contexts of its own too, down to two
+bytes, and only those of one byte are sent with every part. The unigram base uses counts of
 all tokens: those with at least 1/HEAD of all occurrences (at most HEAD of them) are sent along, the others are joined.
 
 Nulls: a null text is empty (it has its end only); null ids count as empty ones. Repeated rows give
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import extended, shared_dir, small_batches, stash, table
 
-ORDER = 3
+ORDER = 5  #: at most 6: contexts and their symbol are one 64-bit number
 END = 255
-PART = 16_000_000
+PART = 3_000_000
 HEAD = 1 << 21
 SLOTS = 22  #: log2 of the slots of the quick look-up table
 END_TOKEN = 0x0E4D0E4D
@@ -49,7 +51,7 @@ class Trie:
 
     def log10(self, context: bytes, symbol: int) -> float:
         out, barred = 0.0, frozenset()
-        for k in range(self.order, -1, -1):
+        for k in range(min(self.order, len(context)), -1, -1):
             node = self.nodes.get(context[len(context) - k :])
             if not node:
                 continue
@@ -78,21 +80,27 @@ class Trie:
             context = (context + bytes([s]))[1:]
 
 
-def keys_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol (bytes and ends): its three context bytes and itself as one number; texts' offsets."""
-    n = len(offs) - 1
-    wide = offs + 4 * np.arange(n + 1)
-    x = np.full(int(wide[-1]), END, np.uint32)
-    at = np.arange(len(data)) + np.repeat(4 * np.arange(n) + 3, np.diff(offs))
+def keys_of(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol (bytes and ends): its context bytes, the nearest first, and itself as one number; texts' offsets."""
+    n, step = len(offs) - 1, order + 1
+    wide = offs + step * np.arange(n + 1)
+    x = np.full(int(wide[-1]), END, np.uint64)
+    at = np.arange(len(data)) + np.repeat(step * np.arange(n) + order, np.diff(offs))
     x[at] = data
-    key = np.zeros(len(x), np.uint32)
-    key[3:] = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+    key = x.copy()
+    for j in range(1, step):
+        key[order:] |= x[order - j : len(x) - j] << np.uint64(8 * (step - j))
     keep = np.ones(len(x), bool)
-    for j in range(3):
+    for j in range(order):
         keep[wide[:-1] + j] = False
     return key[keep], offs + np.arange(n + 1)
 
 
+def shorter(keys: np.ndarray, by: int) -> np.ndarray:
+    """The keys with their `by` farthest context bytes left out."""
+    return (keys >> np.uint64(8 * (by + 1))) << np.uint64(8) | keys & np.uint64(255)
+
+
 def _count(kind: int, keys: np.ndarray) -> pa.RecordBatch:
     keys, n = np.unique(keys, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n)], ["kind", "key", "n"])
@@ -103,23 +111,26 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return K.hashes(K.FOLD[data], s, e), of
 
 
-def _counts(batches):
-    grams, words, size = [], [], 0
-    texts = 0
-    for p in K.pieces(batches, "text"):
-        data, offs = K.view(p.column(0))
-        grams.append(keys_of(data, offs)[0])
-        words.append(word_hashes(data, offs)[0])
-        texts += len(offs) - 1
-        size += len(grams[-1])
-        if size >= 12_000_000:
+def _counts(order: int):
+    def run(batches):
+        grams, words, size = [], [], 0
+        texts = 0
+        for p in K.pieces(batches, "text"):
+            data, offs = K.view(p.column(0))
+            grams.append(keys_of(data, offs, order)[0])
+            words.append(word_hashes(data, offs)[0])
+            texts += len(offs) - 1
+            size += len(grams[-1])
+            if size >= 12_000_000:
+                yield _count(0, np.concatenate(grams))
+                yield _count(1, np.concatenate(words))
+                grams, words, size = [], [], 0
+        if grams:
             yield _count(0, np.concatenate(grams))
             yield _count(1, np.concatenate(words))
-            grams, words, size = [], [], 0
-    if grams:
-        yield _count(0, np.concatenate(grams))
-        yield _count(1, np.concatenate(words))
-    yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0]), pa.array([texts])], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0]), pa.array([texts])], ["kind", "key", "n"])
+
+    return run
 
 
 class _Level:
@@ -127,7 +138,7 @@ class _Level:
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         self.keys, self.n = keys, n
-        ctx = keys >> np.uint32(8)
+        ctx = keys >> np.uint64(8)
         first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(keys) else np.zeros(0, int)
         self.ctx, self.first = ctx[first], first
         self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
@@ -143,27 +154,26 @@ class _Level:
 class Frozen:
     """A finished trie as sorted arrays; `lo` to `hi` are the keys of this part's longest contexts."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, lower: np.ndarray, lower_n: np.ndarray, lo: int, hi: int):
-        """keys, n: symbols in contexts of 3 bytes; lower, lower_n: in contexts of 2 (all of them)."""
-        self.lo, self.hi = lo, hi
-        levels = [None, None, _Level(lower, lower_n), _Level(keys, n)]
-        for k in (1, 0):
-            cut = levels[k + 1].keys & np.uint32((1 << 8 * (k + 1)) - 1)
-            u, back = np.unique(cut, return_inverse=True)
+    def __init__(self, keys: np.ndarray, n: np.ndarray, lower: np.ndarray, lower_n: np.ndarray, lo: int, hi: int, order: int = ORDER):
+        """keys, n: symbols in contexts of `order` bytes; lower, lower_n: in contexts of 1 (all of them)."""
+        self.lo, self.hi, self.order = lo, hi, order
+        levels = [None, _Level(lower, lower_n), *[None] * (order - 2), _Level(keys, n)]
+        for k in (*range(order - 1, 1, -1), 0):
+            u, back = np.unique(shorter(levels[k + 1].keys, 1), return_inverse=True)
             levels[k] = _Level(u, np.bincount(back, levels[k + 1].n, len(u)).astype(np.int64))
         self.levels = levels
-        for k in (3, 2, 1):  # of each context of k bytes: what its symbols leave of the next shorter context
+        for k in range(order, 0, -1):  # of each context of k bytes: what its symbols leave of the next shorter context
             a, b = levels[k], levels[k - 1]
             if not len(a.keys):
                 a.left_n = a.left_t = np.zeros(0, np.int64)
                 continue
-            i, _ = b.at(b.keys, a.keys & np.uint32((1 << 8 * k) - 1))
+            i, _ = b.at(b.keys, shorter(a.keys, 1))
             barred = np.add.reduceat(b.n[i], a.first)
-            j, _ = b.at(b.ctx, a.ctx & np.uint32((1 << 8 * (k - 1)) - 1))
+            j, _ = b.at(b.ctx, a.ctx >> np.uint64(8))
             a.left_n, a.left_t = b.total[j] - barred, b.kinds[j] - a.kinds
-        top = levels[3]
+        top = levels[order]
         per = np.repeat(top.total + top.kinds, top.kinds)
-        self.quick_keys = np.full(1 << SLOTS, 0, np.uint32)
+        self.quick_keys = np.full(1 << SLOTS, 0, np.uint64)
         self.quick = np.full(1 << SLOTS, np.nan, np.float32)
         slot = self._slot(top.keys)
         self.log_top = np.log10(top.n / per) if len(per) else np.zeros(0)
@@ -171,31 +181,31 @@ class Frozen:
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 of each symbol's probability; 0 where its context is another part's."""
         slot = self._slot(keys)
         out = self.quick[slot].astype(np.float64)
         rest = np.flatnonzero((self.quick_keys[slot] != keys) | np.isnan(out))
-        if self.lo > 0 or self.hi < 1 << 32:
-            mine = (keys[rest] >= np.uint32(self.lo)) & (keys[rest].astype(np.int64) < self.hi)
+        if self.lo > 0 or self.hi < 1 << 8 * (self.order + 1):
+            mine = (keys[rest] >= np.uint64(self.lo)) & (keys[rest] < np.uint64(self.hi))
             out[rest[~mine]] = 0
             rest = rest[mine]
-        k3 = keys[rest]
-        top = self.levels[3]
-        i, ok = top.at(top.keys, k3)
+        left = keys[rest]
+        top = self.levels[self.order]
+        i, ok = top.at(top.keys, left)
         out[rest[ok]] = self.log_top[i[ok]]
-        rest, k3 = rest[~ok], k3[~ok]
+        rest, left = rest[~ok], left[~ok]
         acc = np.zeros(len(rest))
-        i, known = top.at(top.ctx, k3 >> np.uint32(8))
+        i, known = top.at(top.ctx, left >> np.uint64(8))
         if len(top.ctx):
             acc[known] = np.log10(top.kinds[i[known]] / (top.total[i[known]] + top.kinds[i[known]]))
-        for k in (2, 1, 0):
+        for k in range(self.order - 1, -1, -1):
             lv, up = self.levels[k], self.levels[k + 1]
-            key = k3 & np.uint32((1 << 8 * (k + 1)) - 1)
+            key = shorter(left, self.order - k)
             g, hit = lv.at(lv.keys, key)
-            c, there = lv.at(lv.ctx, key >> np.uint32(8))
+            c, there = lv.at(lv.ctx, key >> np.uint64(8))
             if not len(lv.keys):
                 continue
             left_n = np.where(known, up.left_n[i] if len(up.ctx) else 0, lv.total[c])
@@ -207,7 +217,7 @@ class Frozen:
             go = ~hit
             escape = go & there & (left_t > 0)
             acc[escape] += np.log10(left_t[escape] / whole[escape])
-            rest, k3, acc, i, known = rest[go], k3[go], acc[go], c[go], there[go]
+            rest, left, acc, i, known = rest[go], left[go], acc[go], c[go], there[go]
         out[rest] = acc - math.log10(256 - (len(self.levels[0].keys)))
         return out
 
@@ -217,7 +227,7 @@ def _scored(sent, head, first: bool):
         model = sent.value
         for p in K.pieces(batches, "text"):
             data, offs = K.view(p.column(p.schema.get_field_index("text")))
-            keys, at = keys_of(data, offs)
+            keys, at = keys_of(data, offs, model.order)
             c = np.concatenate(([0.0], np.cumsum(model.score(keys))))
             score = c[at[1:]] - c[at[:-1]]
             if not first:
@@ -237,14 +247,14 @@ def _scored(sent, head, first: bool):
     return run
 
 
-def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: int = HEAD, order: int = ORDER) -> DataFrame:
     """docs (id, text) plus n_tokens, n_known, train_tokens, base_score and score (log10 of the text's
-    probability), learnt from training (text)."""
+    probability), learnt from training (text). The order is 2 to 6."""
     spark = docs.sparkSession
     docs = docs.drop("score", "n_tokens", "head_log", "head_known", "tail", "n_known", "train_tokens", "base_score")
     shared_dir(spark)
     small_batches(spark)
-    counts = training.select("text").mapInArrow(_counts, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = training.select("text").mapInArrow(_counts(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = stash(counts)
     grams, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -253,34 +263,35 @@ def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: in
     least = total // head + 1
     often = words.where(F.col("n") >= least).toArrow()
     hk = often.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(hk)
-    sent_head = spark.sparkContext.broadcast((hk[order], np.log10(often.column(1).to_numpy()[order] + 0.5), math.log10(ends + 0.5), int(ends > 0)))
+    by = np.argsort(hk)
+    sent_head = spark.sparkContext.broadcast((hk[by], np.log10(often.column(1).to_numpy()[by] + 0.5), math.log10(ends + 0.5), int(ends > 0)))
 
-    low = grams.groupBy((F.col("key").bitwiseAND(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2**24 rows
+    one = F.shiftleft(F.shiftright("key", 8 * order), 8).bitwiseOR(F.col("key").bitwiseAND(255))
+    low = grams.groupBy(one.alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2**16 rows
     number = lambda t, kind: (t.column(0).to_numpy().astype(kind), t.column(1).to_numpy())
 
     def ordered(t):
-        k, n = number(t, np.uint32)
+        k, n = number(t, np.uint64)
         o = np.argsort(k)
         return k[o], n[o]
 
     lk, ln = ordered(low)
-    cuts = [0]
-    if (distinct := grams.count()) > part:  # ranges of the first two context bytes
+    cuts, low_bits = [0], 8 * (order - 1)
+    if (distinct := grams.count()) > part:  # ranges of the nearest two context bytes
         held = 0
-        for r in grams.groupBy(F.shiftright("key", 16).alias("b")).count().orderBy("b").toLocalIterator():
+        for r in grams.groupBy(F.shiftright("key", low_bits).alias("b")).count().orderBy("b").toLocalIterator():
             if held and held + r["count"] > part:
-                cuts.append(r["b"] << 16)
+                cuts.append(r["b"] << low_bits)
                 held = 0
             held += r["count"]
-    cuts.append(1 << 32)
+    cuts.append(1 << 8 * (order + 1))
     d = docs
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         k, n = ordered((grams if distinct <= part else grams.where((F.col("key") >= lo) & (F.col("key") < hi))).toArrow())
-        sent = spark.sparkContext.broadcast(Frozen(k, n, lk, ln, lo, hi))
+        sent = spark.sparkContext.broadcast(Frozen(k, n, lk, ln, lo, hi, order))
         schema = d.schema if i else extended(d.schema, "score double, n_tokens long, head_log double, head_known long, tail array<long>")
         d = d.mapInArrow(_scored(sent, sent_head, not i), schema)
-        if hi < 1 << 32:
+        if hi < cuts[-1]:
             d = stash(d)
     d = stash(d.drop("text").withColumn("_row", F.monotonically_increasing_id()))
     rare = d.select("_row", F.explode("tail").alias("key")).join(words, "key", "left")

@@ -246,6 +246,21 @@ def test_ppm_equals_trie(spark, documents, odd, none):
     assert r.score > -math.log10(256) * (len(r.text.encode()) + 1)
 
 
+def test_ppm_orders_equal_trie(spark, documents):
+    d = [(r.doc_id, r.text) for r in documents.limit(30).collect()]
+    probe, train = spark.createDataFrame(d[:12], "doc_id long, text string"), spark.createDataFrame(d[12:], "doc_id long, text string")
+    total = {}
+    for order in (3, 5):
+        trie = ppm.Trie(order)
+        for _, x in d[12:]:
+            trie.train(x)
+        for part in (ppm.PART, 3000):
+            got = {r.doc_id: r.score for r in ppm.score_texts(probe, train, part=part, order=order).collect()}
+            assert all(math.isclose(got[i], trie.score(x, False), rel_tol=1e-6) for i, x in d[:12])
+        total[order] = sum(got.values())
+    assert ppm.ORDER >= 5 and total[5] != total[3]
+
+
 def test_ppm_base(documents):
     words = lambda x: [*re.findall(r"[^\x20\x09-\x0d]+", (x or "").translate(FOLD)), "\0"]
     d = documents.collect()
