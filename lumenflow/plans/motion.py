@@ -345,7 +345,7 @@ def track_events_batch(spark, sf_dir):
 
 @query(None)
 def grid_video_events(spark, sf_dir):
-    """The nine synthetic videos of 480 x 640 through the dense detector."""
-    f = moving_spot(grid_spec(spark, sf_dir), 480, 640, blank=5)
+    """The nine synthetic videos of 110 frames of 480 x 640 through the dense detector."""
+    f = moving_spot(grid_spec(spark, sf_dir), 480, 640)
     e = video.detect(f, Config(alpha=0.3, min_area=50, max_distance=200.0))
     return e.groupBy("stream").agg(F.count("x").alias("events"), F.countDistinct("track_id").alias("tracks"))

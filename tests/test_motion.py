@@ -59,6 +59,14 @@ def test_grid_cell(radius, noise):
     assert n >= 10
 
 
+def test_grid_query_has_all_frames(spark, monkeypatch):
+    seen, detect = [], video.detect
+    monkeypatch.setattr(video, "detect", lambda f, *a, **k: seen.append(f) or detect(f, *a, **k))
+    events = plans.queries()["grid_video_events"](spark, "").collect()
+    assert {r.stream: r["count"] for r in seen[0].groupBy("stream").count().collect()} == {r.stream: 110 for r in events}
+    assert len(events) == 9 and all(r.events >= 10 for r in events)
+
+
 def test_first_frame_and_alpha_one_have_no_difference():
     g = np.full((4, 4), 200, np.uint8)
     assert not raster.Background(LIBRARY).diff(g).any()
