@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from lumenflow.llm import decontaminate, lang_id, mixing, ngram_join, secret_scan
 from lumenflow.llm.common import bounded, drop_stashes, stash, table
 
-#: Documents of an undetermined language go; so do those whose language is hardly better than a guess.
-LEAST_SCORE = 0.3
+#: Documents of an undetermined language go; so do those whose language is hardly better than a guess: LEAST_LIFT guesses, at most LEAST_SCORE.
+LEAST_SCORE, LEAST_LIFT = 0.3, 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the labelled ones teach; a missing label is filled by the prediction."""
-    found = lang_id.predict(docs, lang_id.train(docs), pred_col="_lang", score_col="_score")
-    kept = found.where((F.col("_lang") != lang_id.UND) & (F.col("_score") >= LEAST_SCORE))
+    """Documents in a language the labelled ones teach; a missing label is filled by the prediction. All documents if there is no label."""
+    model = lang_id.train(docs)
+    if not model.labels:
+        return docs
+    found = lang_id.predict(docs, model, pred_col="_lang", score_col="_score")
+    kept = found.where((F.col("_lang") != lang_id.UND) & (F.col("_score") >= min(LEAST_SCORE, LEAST_LIFT / len(model.labels))))
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 

@@ -322,6 +322,15 @@ def test_language_id(spark, documents, odd, none):
     assert {r.lang_pred for r in lang_id.predict(odd, lang_id.train(none)).collect()} == {"und"}
 
 
+def test_language_stage_without_labels_and_with_many(spark, odd, monkeypatch):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, bare, DATA).count() == odd.count()
+    model = lang_id.Model([f"l{i}" for i in range(12)], np.zeros((12, 1), np.float32), np.zeros(12), 1.0)
+    monkeypatch.setattr(lang_id, "train", lambda d: model)
+    monkeypatch.setattr(lang_id, "predict", lambda d, m, pred_col, score_col: d.withColumn(pred_col, F.lit("l1")).withColumn(score_col, F.when(F.col("doc_id") == 3, 0.15).otherwise(0.09)))
+    assert [r.doc_id for r in corpus_pipeline.language(spark, odd, DATA).collect()] == [3]
+
+
 def test_pipeline(spark, documents, odd):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
