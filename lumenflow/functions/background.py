@@ -1,10 +1,23 @@
-"""Per-pixel background folds as column expressions, for series of up to some hundred values."""
+"""Per-pixel background folds: a numpy step, and column expressions for series of up to some hundred values."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import Config
+
+
+def advance(mean: np.ndarray, frame: np.ndarray, config: Config) -> np.ndarray:
+    """The float32 background after a further frame, pixel by pixel."""
+    if config.adaptive:
+        small, large = config.rates
+        rate = np.where(np.abs(frame - mean) <= config.change_threshold, np.float32(small), np.float32(large))
+    else:
+        rate = np.float32(config.alpha)
+    return (np.float32(1) - rate) * mean + rate * frame
+
 
 def running_background(values: Column, small: float, large: float, change: float) -> Column:
     """Background after each value of an ordered array: the first value, then an exponential mean whose

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..config import Config
+from ..functions.background import advance
 
 KEY = ["stream", "frame"]
 
@@ -39,10 +45,46 @@ def threshold(pixels: DataFrame, most: float) -> DataFrame:
     return pixels.where(F.col("g") > most)
 
 
-def differences(pixels: DataFrame) -> DataFrame:
-    """Distance of each pixel to itself one frame before; 0 in the first frame."""
-    before = F.lag("g").over(W.partitionBy("stream", "y", "x").orderBy("frame"))
-    return pixels.withColumn("d", F.coalesce(F.abs(F.col("g") - before), F.lit(0)))
+def background_differences(pixels: DataFrame, config: Config) -> DataFrame:
+    """pixels plus d: the distance of each pixel to its background, which takes the frame up first, in single precision,
+    and is cut to whole numbers; 0 in a pixel's first frame. Pixels are dealt by their place, so a stream spreads over
+    many tasks; a task holds one number a pixel and steps frame by frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, places, states = object(), None, None
+        for b in batches:
+            at = np.flatnonzero(_new_frames(b))
+            out, ends = np.zeros(b.num_rows, np.int32), np.append(at[1:], b.num_rows)
+            names = b.column(0).take(pa.array(at)).to_pylist()
+            place = (b.column(2).to_numpy().astype(np.int64) << 32) | b.column(3).to_numpy()
+            g = b.column(4).to_numpy()
+            for name, i, j in zip(names, at, ends):
+                if name != stream:
+                    stream, places, states = name, np.zeros(0, np.int64), np.zeros(0, np.float32)
+                if not np.array_equal(places, place[i:j]):  # other places than before: their backgrounds wait, new ones begin
+                    every = np.union1d(places, place[i:j])
+                    mean = np.full(len(every), np.nan, np.float32)
+                    mean[np.searchsorted(every, places)] = states
+                    places, states = every, mean
+                here = np.searchsorted(places, place[i:j])
+                mean, f = states[here], g[i:j].astype(np.float32)
+                states[here] = np.where(np.isnan(mean), f, advance(mean, f, config))
+                out[i:j] = np.where(np.isnan(mean), 0, np.abs(g[i:j] - states[here].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "d"])
+
+    rows = pixels.select("stream", "frame", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("g").cast("int").alias("g"))
+    rows = rows.repartition("stream", "y", "x").sortWithinPartitions("stream", "frame", "y", "x")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("d", T.IntegerType())]))
+
+
+def _new_frames(b: pa.RecordBatch) -> np.ndarray:
+    """Whether a row is the first one of its stream and frame in the batch."""
+    new = np.ones(b.num_rows, bool)
+    new[1:] = False
+    for i in (0, 1):
+        v = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
 
 
 def _morph(pixels: DataFrame, offsets, pick) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..config import Config
+from ..functions.background import advance
 from .pixels import ellipse
 
 
@@ -86,13 +87,7 @@ class Background:
         if self.mean is None:
             self.mean = g.astype(np.float32)
             return np.zeros_like(g)
-        f = g.astype(np.float32)
-        if c.adaptive:
-            small, large = c.rates
-            rate = np.where(np.abs(f - self.mean) <= c.change_threshold, np.float32(small), np.float32(large))
-        else:
-            rate = np.float32(c.alpha)
-        self.mean = (np.float32(1) - rate) * self.mean + rate * f
+        self.mean = advance(self.mean, g.astype(np.float32), c)
         d = np.abs(g.astype(np.int16) - self.mean.astype(np.uint8).astype(np.int16)).astype(np.uint8)
         return d if mask is None else np.where(mask, d, 0).astype(np.uint8)
 
@@ -140,6 +135,18 @@ def polygon_area(on: np.ndarray) -> float:
     return float((q == 4).sum() + 0.5 * (q == 3).sum())
 
 
+def polygon_centroid(on: np.ndarray) -> tuple[float, float]:
+    """(x, y) of that polygon's centre of gravity: squares count at their centres, triangles, half as much, at theirs."""
+    p = np.pad(on.astype(int), 1)
+    corners = [(dy, dx, p[dy : p.shape[0] - 1 + dy, dx : p.shape[1] - 1 + dx]) for dy in (0, 1) for dx in (0, 1)]
+    n = sum(c for _, _, c in corners)
+    weight = np.where(n == 4, 1.0, np.where(n == 3, 0.5, 0.0))
+    row, col = np.indices(n.shape) - 1
+    share = weight / np.maximum(n, 1)
+    total = weight.sum()
+    return float(sum((share * c * (col + dx)).sum() for _, dx, c in corners) / total), float(sum((share * c * (row + dy)).sum() for dy, _, c in corners) / total)
+
+
 def detections(d: np.ndarray, config: Config) -> list[tuple[float, float, float]]:
     """(x, y, area) of each outer blob of the cleaned difference, in order of first pixels."""
     d = clean(d, config.kernel)
@@ -160,7 +167,12 @@ def detections(d: np.ndarray, config: Config) -> list[tuple[float, float, float]
         blob[y - y.min(), x - x.min()] = True
         area = polygon_area(blob)
         v = d[y, x]
-        if area >= config.min_area and v.max() > 0:
+        if area < config.min_area:
+            continue
+        if v.max() > 0:
             best = int(np.argmax(v))  # the first of equal peaks
             out.append((float(x[best]), float(y[best]), area))
+        elif area:  # no peak: the centre of gravity; a blob without area has none
+            cx, cy = polygon_centroid(blob)
+            out.append((cx + float(x.min()), cy + float(y.min()), area))
     return out

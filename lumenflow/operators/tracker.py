@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Config
 
+SLICE = 512  #: tracks compared with a frame's points at once
 EVENTS = "stream string, emit_frame long, emit_seq int, frame_number long, track_id long, x double, y double"
 
 
@@ -39,13 +43,23 @@ class State:
 
 def assign(tracks: list[Track], points: list[tuple], most: float) -> dict[int, int]:
     """Greedy one-to-one match, nearest first; ties by track order, then point order."""
-    pairs = sorted(((t.x - p[0]) ** 2 + (t.y - p[1]) ** 2, i, j) for i, t in enumerate(tracks) for j, p in enumerate(points))
+    if not tracks or not points:
+        return {}
+    t, p = np.array([(t.x, t.y) for t in tracks]), np.array([(p[0], p[1]) for p in points])
+    found = []
+    for at in range(0, len(t), SLICE):  # only pairs within the radius are kept and sorted
+        dx, dy = t[at : at + SLICE, :1] - p[:, 0], t[at : at + SLICE, 1:] - p[:, 1]
+        d = dx * dx + dy * dy
+        i, j = np.nonzero(d <= most * most)
+        found.append((d[i, j], i + at, j))
+    d, i, j = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((j, i, d))
     match: dict[int, int] = {}
     used: set[int] = set()
-    for d, i, j in pairs:
-        if d <= most * most and i not in match and j not in used:
-            match[i] = j
-            used.add(j)
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if a not in match and b not in used:
+            match[a] = b
+            used.add(b)
     return match
 
 
@@ -112,18 +126,45 @@ def step(state: State, frame: int, points: list[tuple], config: Config, size: fl
 
 def track(detections: DataFrame, config: Config, frames: DataFrame | None = None, size: float | None = None) -> DataFrame:
     """Events of (stream, frame, x, y, area), points of a frame in the order of y, x. `frames` (stream, frame) names
-    all frames, those without points included; without it a stream's frames are its first to its last. A
-    stream is one task: each frame depends on the one before."""
+    all frames, those without points included; without it a stream's frames are its first to its last. A stream is one
+    task, as each frame depends on the one before, but its rows are sorted by Spark and consumed batch by batch: a task
+    holds the tracks and one frame. Points with a null are left out."""
     rows = detections.select("stream", "frame", "x", "y", "area")
     spine = frames is not None
     if spine:
-        rows = frames.select("stream", "frame").join(rows, ["stream", "frame"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {f: [tuple(map(float, r)) for r in g[["x", "y", "area"]].dropna().sort_values(["y", "x"]).itertuples(index=False)] for f, g in pdf.groupby("frame")}
-        state, out = State(), []
-        for f in sorted(by) if spine else range(int(min(by)), int(max(by)) + 1):
-            out += [(pdf["stream"].iloc[0], int(f), i, *e) for i, e in enumerate(step(state, int(f), by.get(f, []), config, size))]
-        return pd.DataFrame(out, columns=["stream", "emit_frame", "emit_seq", "frame_number", "track_id", "x", "y"]).astype({"track_id": "Int64"})
-
-    return rows.groupBy("stream").applyInPandas(run, EVENTS)
+        rows = frames.select("stream", "frame").distinct().join(rows, ["stream", "frame"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, points, out = None, State(), [], []
+
+        def close() -> None:
+            out.extend((*key, n, *e) for n, e in enumerate(step(state, key[1], points, config, size)))
+
+        for b in batches:
+            for s, f, x, y, a in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if key is None or (s, f) != key:
+                    if key is not None:
+                        close()
+                    if key is None or s != key[0]:
+                        state = State()
+                    elif not spine:
+                        for gap in range(key[1] + 1, f):
+                            key, points = (s, gap), []
+                            close()
+                    key, points = (s, f), []
+                if None not in (x, y, a) and x == x and y == y and a == a:
+                    points.append((float(x), float(y), float(a)))
+            yield batch(out)
+            out = []
+        if key is not None:
+            close()
+            yield batch(out)
+
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(names), kinds)], names)
+
+    rows = rows.select(F.col("stream").cast("string").alias("stream"), F.col("frame").cast("long").alias("frame"), "x", "y", "area").repartition("stream").sortWithinPartitions("stream", "frame", "y", "x")
+    return rows.mapInArrow(run, EVENTS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,10 +24,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("stream"), F.col("s.value").alias("vs"))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """(stream, frame, i, x, y): events as points, a stream per type, a frame per day."""
-    e = read(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value", "props")
-    d = e.select(F.col("event_type").alias("stream"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long").alias("frame"), F.col("event_id").alias("i"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+    e = read(spark, sf_dir, "events")
+    d = e.select(F.col("event_type").alias("stream"), F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long").alias("frame"), F.col("event_id").alias("i"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), *more)
     return d
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import LIBRARY, Config
@@ -73,18 +72,31 @@ def resized_width_(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), resized_width(F.col("p_size"), F.lit(10), 16).alias("width"))
 
 
-_DIFF = "df AS (SELECT stream, frame, y, x, g, coalesce(abs(g - lag(g) OVER (PARTITION BY stream, y, x ORDER BY frame)), 0) AS d FROM px)"
+def _background(name: str, rate: str) -> str:
+    """SQL of the distance to a background that is updated first, in single precision, and cut to whole numbers."""
+    b = f"list_reduce(list_transform(gs, lambda v: [v::FLOAT]), lambda a, b: list_append(a, ((1::FLOAT - {rate}) * a[-1] + {rate} * b[1])::FLOAT))"
+    return f"""s_{name} AS (SELECT stream, y, x, list(frame ORDER BY frame) AS fs, list(g ORDER BY frame) AS gs FROM px GROUP BY 1, 2, 3),
+b_{name} AS (SELECT *, {b} AS bs FROM s_{name}),
+{name} AS (SELECT stream, fs[k] AS frame, y, x, gs[k] AS g, CASE WHEN k = 1 THEN 0 ELSE abs(gs[k] - trunc(bs[k])::INT) END::INT AS d FROM b_{name}, unnest(range(1, len(fs) + 1)) t(k))"""
+
+
+_DIFF = _background("df", f"(CASE WHEN abs(b[1] - a[-1]) <= {CHANGE} THEN {SMALL}::FLOAT ELSE ({SMALL}::DOUBLE * 0.2::DOUBLE)::FLOAT END)")
 
 
 @query(f"WITH {PIXELS}, {_DIFF} SELECT stream, frame, sum(d)::BIGINT AS moved, max(d)::INT AS largest FROM df GROUP BY 1, 2")
-def frame_diff(spark, sf_dir):
-    return P.differences(pixels(spark, sf_dir)).groupBy("stream", "frame").agg(F.sum("d").alias("moved"), F.max("d").alias("largest"))
+def background_diff(spark, sf_dir):
+    return P.background_differences(pixels(spark, sf_dir), LIBRARY).groupBy("stream", "frame").agg(F.sum("d").alias("moved"), F.max("d").alias("largest"))
+
 
+@query(f"WITH {PIXELS}, {_background('df', '0.3::FLOAT')} SELECT stream, frame, y, x, g, d FROM df")
+def background_diff_plain(spark, sf_dir):
+    return P.background_differences(pixels(spark, sf_dir), Config(alpha=0.3, adaptive=False))
 
-@query(f"WITH {PIXELS}, {_DIFF}, f AS (SELECT stream, min(frame) AS frame FROM px GROUP BY 1) SELECT stream, frame, sum(d)::BIGINT AS moved FROM df JOIN f USING (stream, frame) GROUP BY 1, 2")
+
+@query(f"WITH {PIXELS} SELECT stream, min(frame) AS frame, 0::BIGINT AS moved FROM px GROUP BY 1")
 def first_frame_no_diff(spark, sf_dir):
-    p = P.differences(pixels(spark, sf_dir)).withColumn("first", F.min("frame").over(W.partitionBy("stream")))
-    return p.where("frame = first").groupBy("stream", "frame").agg(F.sum("d").alias("moved"))
+    d = P.background_differences(pixels(spark, sf_dir), LIBRARY).groupBy("stream", "frame").agg(F.sum("d").alias("moved"))
+    return d.groupBy("stream").agg(F.min(F.struct("frame", "moved")).alias("f")).select("stream", "f.*")
 
 
 @query(f"WITH {PIXELS} SELECT stream, frame, count(*)::BIGINT AS pixels FROM px WHERE g > {ON} GROUP BY 1, 2")
@@ -128,8 +140,12 @@ def double_dilate(spark, sf_dir):
 
 
 _BLOBS = f"""WITH RECURSIVE {PIXELS}, p AS (SELECT *, (y * 8 + x)::BIGINT AS pos FROM px WHERE g > {ON}),
-r AS (SELECT stream, frame, pos, y, x, pos AS root FROM p UNION SELECT p.stream, p.frame, p.pos, p.y, p.x, r.root FROM r JOIN p ON p.stream = r.stream AND p.frame = r.frame AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1),
-b AS (SELECT p.stream, p.frame, p.y, p.x, p.g, m.blob FROM p JOIN (SELECT stream, frame, pos, min(root) AS blob FROM r GROUP BY 1, 2, 3) m USING (stream, frame, pos))"""
+fr AS (SELECT DISTINCT stream, frame FROM p), ring AS (SELECT stream, frame, a.y::INT AS y, c.x::INT AS x FROM fr, range(-1, 9) a(y), range(-1, 9) c(x)),
+off_ AS (SELECT ring.* FROM ring LEFT JOIN p USING (stream, frame, y, x) WHERE p.g IS NULL),
+o AS (SELECT stream, frame, y, x FROM off_ WHERE y = -1 AND x = -1 UNION SELECT n.stream, n.frame, n.y, n.x FROM o JOIN off_ n ON n.stream = o.stream AND n.frame = o.frame AND abs(n.y - o.y) + abs(n.x - o.x) = 1),
+fl AS (SELECT ring.stream, ring.frame, ring.y, ring.x, p.g, (ring.y * 8 + ring.x)::BIGINT AS pos FROM ring LEFT JOIN o USING (stream, frame, y, x) LEFT JOIN p USING (stream, frame, y, x) WHERE o.y IS NULL),
+r AS (SELECT stream, frame, pos, y, x, pos AS root FROM fl UNION SELECT fl.stream, fl.frame, fl.pos, fl.y, fl.x, r.root FROM r JOIN fl ON fl.stream = r.stream AND fl.frame = r.frame AND abs(fl.y - r.y) <= 1 AND abs(fl.x - r.x) <= 1),
+b AS (SELECT fl.stream, fl.frame, fl.y, fl.x, fl.g, m.blob FROM fl JOIN (SELECT stream, frame, pos, min(root) AS blob FROM r GROUP BY 1, 2, 3) m USING (stream, frame, pos))"""
 
 
 def _blobs(spark, sf_dir):
@@ -152,12 +168,14 @@ def blob_area_quads(spark, sf_dir):
     return segment.areas(_blobs(spark, sf_dir))
 
 
-@query(_BLOBS + " SELECT stream, frame, blob, x, y, g FROM b QUALIFY row_number() OVER (PARTITION BY stream, frame, blob ORDER BY g DESC, y, x) = 1")
+@query(_BLOBS + " SELECT stream, frame, blob, x, y, g FROM b WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream, frame, blob ORDER BY g DESC, y, x) = 1")
 def blob_peak(spark, sf_dir):
     return segment.peaks(_blobs(spark, sf_dir))
 
 
-@query(_BLOBS + " SELECT stream, frame, blob, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM b GROUP BY 1, 2, 3")
+@query(_BLOBS + """, q AS (SELECT stream, frame, blob, b.y - o.a AS wy, b.x - o.c AS wx, count(*) AS n, avg(b.y) AS my, avg(b.x) AS mx FROM b, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, c) GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT *, CASE n WHEN 4 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS m FROM q WHERE n >= 3)
+SELECT stream, frame, blob, round(sum(m * mx) / sum(m), 6) AS cx, round(sum(m * my) / sum(m), 6) AS cy FROM w GROUP BY 1, 2, 3""")
 def blob_centroid(spark, sf_dir):
     return segment.centroids(_blobs(spark, sf_dir)).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
@@ -220,12 +238,12 @@ def trajectory_span(spark, sf_dir):
     return assign.spans(points(spark, sf_dir)).withColumn("span", F.round("span", 6))
 
 
-@query(f"""WITH {POINTS}, e AS (SELECT * FROM pts WHERE i % 3 = 0), s AS (SELECT * FROM pts WHERE i % 3 = 1)
+@query(f"""WITH {POINTS}
 SELECT s.stream, e.i AS old, s.i AS track, e.frame AS ended, s.frame AS began, round((s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y), 6) AS dist_sq
-FROM e JOIN s ON s.stream = e.stream AND s.frame BETWEEN e.frame + 1 AND e.frame + 2 AND (s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y) <= 100""")
+FROM pts e JOIN pts s ON s.stream = e.stream AND s.frame BETWEEN e.frame + 1 AND e.frame + 2 AND e.i != s.i AND (s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y) <= 100""")
 def merge_candidates(spark, sf_dir):
     p = points(spark, sf_dir).withColumnRenamed("i", "track")
-    return assign.merge_candidates(p.where("track % 3 = 0"), p.where("track % 3 = 1"), 2, 100.0).withColumn("dist_sq", F.round("dist_sq", 6))
+    return assign.merge_candidates(p, p, 2, 100.0).withColumn("dist_sq", F.round("dist_sq", 6))
 
 
 @query(f"WITH {SIGNALS} SELECT stream, frame FROM sig WHERE NOT v > 50")
@@ -249,14 +267,16 @@ def trajectories(spark, sf_dir):
     return debug.trajectories(points(spark, sf_dir))
 
 
-_BUFFER = f"{POINTS}, bf AS (SELECT stream, frame, i % 10 AS track, max(x) AS x, max(y) AS y FROM pts WHERE i % 2 = 0 GROUP BY 1, 2, 3), lt AS (SELECT stream, frame, i % 10 AS track, min(x) AS x, min(y) AS y FROM pts WHERE i % 3 = 0 GROUP BY 1, 2, 3)"
+#: The buffer holds each point at its frame, as the track of its user; late ones say the same of the frame before.
+_BUFFER = f"{POINTS}, u AS (SELECT pts.*, user_id AS track FROM pts JOIN events ON event_id = i), bf AS (SELECT stream, frame, track, max(x) AS x, max(y) AS y FROM u GROUP BY 1, 2, 3), lt AS (SELECT stream, frame - 1 AS frame, track, min(x) AS x, min(y) AS y FROM u GROUP BY 1, 2, 3)"
 
 
 @query(f"WITH {_BUFFER} SELECT coalesce(l.stream, b.stream) AS stream, coalesce(l.frame, b.frame) AS frame, coalesce(l.track, b.track) AS track, coalesce(l.x, b.x) AS x, coalesce(l.y, b.y) AS y FROM bf b FULL JOIN (SELECT * FROM lt WHERE EXISTS (SELECT 1 FROM bf WHERE bf.stream = lt.stream AND bf.frame = lt.frame)) l ON l.stream = b.stream AND l.frame = b.frame AND l.track = b.track")
 def buffer_patch(spark, sf_dir):
-    p = points(spark, sf_dir)
-    take = lambda d, f: d.groupBy("stream", "frame", (F.col("i") % 10).alias("track")).agg(f("x").alias("x"), f("y").alias("y"))
-    return debug.patched(take(p.where("i % 2 = 0"), F.max), take(p.where("i % 3 = 0"), F.min))
+    p = points(spark, sf_dir, F.col("user_id").alias("track"))
+    held = p.groupBy("stream", "frame", "track").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    late = p.groupBy("stream", (F.col("frame") - 1).alias("frame"), "track").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    return debug.patched(held, late)
 
 
 _LATE = f"{POINTS}, ev AS (SELECT stream, frame + i % 4 AS emit_frame, i AS emit_seq, frame AS frame_number, i % 10 AS track_id, x, y FROM pts)"
@@ -277,7 +297,7 @@ def visible_segments(spark, sf_dir):
     return debug.visible_segments(_late(spark, sf_dir), 3)
 
 
-@query("SELECT user_id AS track, [0, 255, 0, 255, 255, 0, 128, 255][k] AS b, [255, 0, 0, 255, 0, 255, 255, 128][k] AS g, [0, 0, 255, 0, 255, 255, 0, 0][k] AS r FROM (SELECT DISTINCT user_id, user_id % 8 + 1 AS k FROM events)")
+@query("SELECT user_id AS track, c[1] AS b, c[2] AS g, c[3] AS r FROM (SELECT DISTINCT user_id, [[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 0], [255, 0, 255], [0, 255, 255], [128, 0, 255], [255, 128, 0]][user_id % 8 + 1] AS c FROM events)")
 def track_colour_(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("track")).distinct().select("track", track_colour(F.col("track")).alias("c")).select("track", "c.*")
 
@@ -300,7 +320,7 @@ def track_lines(spark, sf_dir):
 @query(f"WITH {PIXELS}, {_DIFF} SELECT stream, frame, y, x, g FROM px UNION ALL SELECT stream, frame, y + 8, x, d FROM df")
 def two_panel_stack(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    return debug.stacked(p, P.differences(p).select("stream", "frame", "y", "x", F.col("d").alias("g")), 8)
+    return debug.stacked(p, P.background_differences(p, LIBRARY).select("stream", "frame", "y", "x", F.col("d").alias("g")), 8)
 
 
 @query("SELECT radius, noise, 'test_r' || radius || '_n' || noise AS stream FROM (VALUES (1), (5), (10)) a(radius), (VALUES (0), (25), (50)) b(noise)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenflow import plans
 from lumenflow.config import COMMAND_LINE, LIBRARY, Config
-from lumenflow.operators import debug, intervals, pixels as P, raster, tracker, video
+from lumenflow.operators import assign as assign_ops, debug, intervals, pixels as P, raster, segment, tracker, video
 from lumenflow.operators.tracker import State, Track, assign, step
 from lumenflow.sources.frames import NpyFrames, check_video_path, moving_spot
 from lumenflow.streaming.tracking import detect_stream, track_stream
@@ -142,6 +142,128 @@ def test_area_and_holes():
     assert got == [(5.0, 5.0, 81.0)]
 
 
+def test_palette():
+    from lumenflow.functions.draw import PALETTE
+
+    assert PALETTE == ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (128, 0, 255), (255, 128, 0))
+
+
+def test_centroid_without_a_peak():
+    assert raster.polygon_centroid(np.ones((3, 5), bool)) == (2.0, 1.0)
+    corner = np.ones((2, 2), bool)
+    corner[1, 1] = False
+    assert np.allclose(raster.polygon_centroid(corner), (1 / 3, 1 / 3))
+    got = raster.detections(np.zeros((6, 6), np.uint8), Config(kernel=1, diff_threshold=-1))
+    assert got == [(2.5, 2.5, 25.0)]  # all is above the threshold, nothing above 0
+
+
+def brute_greedy(pairs):
+    out, tracks, points = [], set(), set()
+    for s, f, d, t, i in sorted(pairs):
+        if (s, f, t) not in tracks and (s, f, i) not in points:
+            tracks.add((s, f, t))
+            points.add((s, f, i))
+            out.append((s, f, t, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 9])
+def test_greedy_rounds_chains_and_ties(spark, rounds):
+    rng = np.random.default_rng(5)
+    pairs = [("a", int(rng.integers(0, 3)), float(rng.integers(0, 6)), t, i) for t in range(12) for i in range(12) if rng.random() < 0.5]
+    for k in range(20):  # a chain: each pair bars the next one
+        pairs.append(("chain", 0, float(k), (k + 1) // 2, k // 2))
+    df = spark.createDataFrame(pairs, "stream string, frame int, dist_sq double, track int, i int")
+    assert sorted((r.stream, r.frame, r.track, r.i) for r in assign_ops.greedy(df, rounds).collect()) == brute_greedy(pairs)
+
+
+def brute_tracker(rows, c, size):
+    """The tracker's rules once more, written out plainly: all pairs, one dict a track."""
+    out = []
+    for stream in sorted({r[0] for r in rows}):
+        mine, tracks, born = [r for r in rows if r[0] == stream], [], 0
+        for frame in range(min(r[1] for r in mine), max(r[1] for r in mine) + 1):
+            here = sorted([r[2:] for r in mine if r[1] == frame], key=lambda p: (p[1], p[0]))
+            near, events, used = {}, [], set()
+            for d, t, j in sorted(((t["x"] - p[0]) ** 2 + (t["y"] - p[1]) ** 2, k, j) for k, t in enumerate(tracks) for j, p in enumerate(here)):
+                if d <= c.max_distance**2 and t not in near and j not in used:
+                    near[t] = j
+                    used.add(j)
+            for k, t in enumerate(list(tracks)):
+                p = here[near[k]] if k in near else None
+                if p is None or ((t["x"] - p[0]) ** 2 + (t["y"] - p[1]) ** 2) ** 0.5 < c.min_distance:
+                    t["hits"], t["lost"] = 0, t["lost"] + 1
+                    continue
+                t.update(x=p[0], y=p[1], hits=t["hits"] + 1, lost=0)
+                if t["sure"]:
+                    events.append((frame, t["id"], *p[:2]))
+                    continue
+                t["wait"].append((frame, *p[:2]))
+                wide = max(max(q[a] for q in t["wait"]) - min(q[a] for q in t["wait"]) for a in (1, 2))
+                if t["hits"] >= c.min_consecutive and (len(t["wait"]) < 2 or wide >= c.min_span_ratio * size):
+                    first = t["wait"][0]
+                    old = [o for o in tracks if o is not t and o["sure"] and 1 <= o["lost"] <= c.max_missed and (o["x"] - first[1]) ** 2 + (o["y"] - first[2]) ** 2 <= c.max_distance]
+                    if old:
+                        t["id"] = old[0]["id"]
+                        tracks.remove(t)
+                        tracks[tracks.index(old[0])] = t
+                    t["sure"] = True
+                    events += [(q[0], t["id"], *q[1:]) for q in t["wait"]]
+            tracks = [t for t in tracks if t["lost"] <= 2 * c.max_missed]
+            for j, p in enumerate(here):
+                if j not in used:
+                    born += 1
+                    tracks.append(dict(id=born, x=p[0], y=p[1], hits=1, lost=0, sure=False, wait=[(frame, *p[:2])]))
+            out += [(stream, frame, n, *e) for n, e in enumerate(events or [(frame, None, None, None)])]
+    return out
+
+
+def test_tracker_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, int(f), float(x), float(y), 1.0) for s in "ab" for f in list(range(30)) + [34] for x, y in rng.integers(0, 40, (int(rng.integers(0, 14)), 2))]
+    c = Config(max_distance=9.0, min_distance=0.5, min_consecutive=2, min_span_ratio=0.01)
+    df = spark.createDataFrame(rows + [("a", 3, None, 1.0, 1.0)], "stream string, frame long, x double, y double, area double").repartition(3)
+    got = sorted(map(tuple, tracker.track(df, c, size=40.0).collect()), key=lambda r: r[:3])
+    assert got == brute_tracker(rows, c, 40.0) and len({r[4] for r in got}) > 5
+    assert tracker.track(df.limit(0), c).count() == 0
+
+
+@pytest.mark.parametrize("config", [LIBRARY, Config(alpha=0.3, adaptive=False)])
+def test_background_relation_equals_dense(spark, config):
+    rng = np.random.default_rng(1)
+    video = rng.integers(0, 256, (2, 25, 5, 6)).astype(np.uint8)
+    px = spark.createDataFrame([(s, f, y, x, int(video[s, f, y, x])) for s in range(2) for f in range(25) for y in range(5) for x in range(6)], "stream int, frame int, y int, x int, g int")
+    got = {(r.stream, r.frame, r.y, r.x): r.d for r in P.background_differences(px.repartition(3), config).collect()}
+    for s in range(2):
+        bg = raster.Background(config)
+        for f in range(25):
+            d = bg.diff(video[s, f])
+            assert all(got[s, f, y, x] == d[y, x] for y in range(5) for x in range(6))
+
+
+def test_background_waits_for_missing_pixels(spark):
+    px = spark.createDataFrame([(None, 0, 0, 0, 10), (None, 1, 0, 1, 50), (None, 2, 0, 0, 110), (None, 2, 0, 1, 50)], "stream int, frame int, y int, x int, g int").coalesce(1)
+    got = {(r.frame, r.x): r.d for r in P.background_differences(px, Config(alpha=0.5, adaptive=False)).collect()}
+    assert got == {(0, 0): 0, (1, 1): 0, (2, 0): 50, (2, 1): 0}
+
+
+def test_blob_relation_equals_dense(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    video = np.where(rng.random((40, 9, 11)) < 0.55, rng.integers(100, 255, (40, 9, 11)), 0).astype(np.uint8)
+    video[0] = 0
+    video[1, 1:8, 1:8], video[1, 2:7, 2:7], video[1, 4, 4] = 200, 0, 220  # a ring around a blob
+    on = spark.createDataFrame([(int(f) // 10, int(f), int(y), int(x), int(video[f, y, x])) for f, y, x in zip(*np.nonzero(video > 90))], "stream int, frame int, y int, x int, g int")
+    for cells in (1, 1 << 22):
+        monkeypatch.setattr(segment, "CELLS", cells)
+        b = segment.components(on, 11)
+        areas, peaks = segment.areas(b), segment.peaks(b)
+        got = {}
+        for r in peaks.join(areas, segment.BLOB).collect():
+            got.setdefault(r.frame, []).append((r.blob, (float(r.x), float(r.y), r.area)))
+        for f in range(40):
+            assert [x for _, x in sorted(got.get(f, []))] == raster.detections(video[f], Config(kernel=1, diff_threshold=90, min_area=0))
+
+
 def test_pixel_relation_equals_dense(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 255, (9, 11)).astype(np.uint8)
