@@ -34,5 +34,21 @@ class Config:
         return max(a, b), min(a, b)
 
 
+
+@dataclass(frozen=True)
+class View:
+    """How frames are taken in and shown: height, masked box (x1, y1, x2, y2 as shares), and the debug view's settings."""
+
+    target_height: int | None = None
+    mask: tuple[float, float, float, float] | None = None
+    fps: int = 30
+    box: int = 50
+    #: Frames a view is held back, so that replayed points still reach it; up to 1 nothing is held.
+    buffer: int = 0
+
+
 LIBRARY = Config()
+LIBRARY_VIEW = View()
 COMMAND_LINE = Config(alpha=0.5, diff_threshold=20, min_area=20, min_consecutive=6, max_distance=10.0, min_distance=2.0, min_span_ratio=0.02)
+#: The box is where the camera prints its time.
+COMMAND_LINE_VIEW = View(target_height=1080, mask=(0.8, 0.8, 1, 1), buffer=COMMAND_LINE.min_consecutive)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.draw import box, track_colour
+
 
 def null_events(frames: DataFrame, events: DataFrame) -> DataFrame:
     """Every frame of the spine without an event gets a null event."""
@@ -44,6 +46,15 @@ def visible_segments(events: DataFrame, buffer: int = 0) -> DataFrame:
     return live.where("x1 IS NOT NULL")
 
 
+def draw_list(events: DataFrame, buffer: int = 0, half: int = 50) -> DataFrame:
+    """(stream, frame, kind, track, x1, y1, x2, y2, visible_from, b, g, r): the boxes of each view, and the lines with the first
+    frame they are seen in (null for boxes; a line has no frame of its own, it stays)."""
+    colour = lambda d: d.withColumn("c", track_colour(F.col("track"))).select("stream", "frame", "kind", "track", "x1", "y1", "x2", "y2", "visible_from", "c.b", "c.g", "c.r")
+    boxes = shown(events, buffer).select("stream", "frame", F.lit("box").alias("kind"), "track", box(F.col("x"), F.col("y"), half).alias("v")).select("stream", "frame", "kind", "track", "v.*", F.lit(None).cast("long").alias("visible_from"))
+    lines = visible_segments(events, buffer).select("stream", F.lit(None).cast("long").alias("frame"), F.lit("line").alias("kind"), "track", "x1", "y1", "x2", "y2", "visible_from")
+    return colour(boxes).unionByName(colour(lines))
+
+
 def segments(points: DataFrame) -> DataFrame:
     """Whole-pixel line segments between a stream's successive points."""
     order = W.partitionBy("stream").orderBy("frame", "i")

@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of clips with a header, all cells text. A file that is missing or has no header is a ValueError."""
+    try:
+        meta = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)
+    except AnalysisException as e:
+        raise ValueError(f"no metadata: {path}") from e
+    if not meta.columns:
+        raise ValueError(f"no header: {path}")
+    return meta
+
+
+def clips_command(spark: SparkSession, path: str, videos: DataFrame, padding: float = 0.0) -> tuple[int, DataFrame | None]:
+    """(exit code, plan): 2 without metadata or a header, else 0, whatever becomes of single rows. Columns that name no range
+    and unparsable numbers are errors, the latter when the plan is run."""
+    try:
+        meta = read_metadata(spark, path)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2, None
+    return 0, clip_plan(meta, videos, padding)
+
+
+def clip_outcome(copied: Column, written: Column, decodable: Column, reencoded: Column, decodable_again: Column) -> Column:
+    """What became of a planned clip. copied: the copy succeeded (if not, what it left stays); written: there is a file;
+    decodable: of the copy; reencoded: the second try succeeded; decodable_again: of its file. Null counts as no."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (F.when(~yes(copied), "copy_failed").when(~yes(written), "removed_no_frames").when(yes(decodable), "copied")
+            .when(~yes(reencoded), "removed_reencode_failed").when(yes(decodable_again), "reencoded").otherwise("removed_no_frames"))
+
+
 def range_columns(names: list[str]) -> tuple[str, str]:
     """The start and end column: the second pair if there are two or more."""
     low = {n: n.strip().lower() for n in names}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ def check_video_path(path: str) -> str:
 
 
 def moving_spot(streams: DataFrame, h: int, w: int, blank: int = 40, motion: int = 30, round_: bool = True) -> DataFrame:
-    """Frames for (stream, radius, noise): blank, a spot from a third to two thirds of the width, blank. Noise is a
-    hash of stream, frame and pixel, below `noise`."""
+    """Frames for (stream, radius, noise): blank, a spot from a third to two thirds of the width, blank. Noise is
+    seeded by stream and frame, below `noise`; the spot is drawn over it."""
 
     def run(batches):
         import pandas as pd
@@ -33,7 +34,7 @@ def moving_spot(streams: DataFrame, h: int, w: int, blank: int = 40, motion: int
             rows = []
             yy, xx = np.mgrid[:h, :w]
             for r in pdf.itertuples(index=False):
-                rng = np.random.default_rng([int(r.radius), int(r.noise), int(r.frame)])
+                rng = np.random.default_rng([zlib.crc32(str(r.stream).encode()), int(r.noise), int(r.frame)])
                 a = rng.integers(0, r.noise, (h, w)).astype(np.uint8) if r.noise else np.zeros((h, w), np.uint8)
                 i = r.frame - blank
                 if 0 <= i < motion:

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenflow import plans
-from lumenflow.config import COMMAND_LINE, LIBRARY, Config
+from lumenflow.config import COMMAND_LINE, COMMAND_LINE_VIEW, LIBRARY, LIBRARY_VIEW, Config
 from lumenflow.operators import assign as assign_ops, debug, intervals, pixels as P, raster, segment, tracker, video
 from lumenflow.operators.tracker import State, Track, assign, step
 from lumenflow.sources.frames import NpyFrames, check_video_path, moving_spot
+from lumenflow.sources import video as vs
 from lumenflow.streaming.tracking import detect_stream, track_stream
 
 SQL = plans.oracle_sql()
@@ -364,6 +365,95 @@ def test_clip_rules(spark):
         intervals.clip_plan(spark.createDataFrame([("a.mp4", "x", "5")], "file string, start string, end string"), vids).collect()
 
 
+def test_clip_metadata_and_outcomes(spark, tmp_path):
+    vids = spark.createDataFrame([("a.mp4", 9.0)], "file string, duration_s double")
+    (tmp_path / "m.csv").write_text('file,begin_s,end_s\na.mp4,1,"2"\n,1,2\na.mp4,,2\n', encoding="utf-8")
+    code, plan = intervals.clips_command(spark, str(tmp_path / "m.csv"), vids)
+    assert code == 0 and [r.clip_name for r in plan.collect()] == ["a_clip_1.000_2.000.mp4"]
+    (tmp_path / "none.csv").write_text("")
+    assert intervals.clips_command(spark, str(tmp_path / "none.csv"), vids) == (2, None)
+    assert intervals.clips_command(spark, str(tmp_path / "missing.csv"), vids) == (2, None)
+    cases = {(False, True, None, None, None): "copy_failed", (True, False, None, None, None): "removed_no_frames", (True, True, True, None, None): "copied",
+             (True, True, False, False, None): "removed_reencode_failed", (True, True, False, True, True): "reencoded", (True, True, False, True, False): "removed_no_frames"}
+    d = spark.createDataFrame(list(cases), "a boolean, b boolean, c boolean, d boolean, e boolean")
+    got = d.select("*", intervals.clip_outcome(*(F.col(c) for c in "abcde")).alias("o")).collect()
+    assert {tuple(r)[:5]: r.o for r in got} == cases
+
+
+def test_video_sources_masks_and_cameras(spark, tmp_path):
+    images = np.random.default_rng(0).integers(1, 255, (7, 6, 8, 3)).astype(np.uint8)
+    (tmp_path / "v").mkdir()
+    np.save(tmp_path / "x.npy", images)
+    (tmp_path / "x.npy").rename(tmp_path / "v" / "x.mp4")
+    opener = "lumenflow.sources.video:NpyCapture"
+    got = list(vs.stream_frames(vs.FileSource(str(tmp_path / "v/x.mp4"), opener), mask=(0.5, 0.5, 1, 1)))
+    assert [n for n, _ in got] == list(range(7)) and not got[3][1][3:, 4:].any() and (got[3][1][:3] == images[3, :3]).all()
+    assert [i.shape for _, i in vs.stream_frames_from_file(str(tmp_path / "v/x.mp4"), target_height=3, opener=opener)] == [(3, 4, 3)] * 7
+    assert vs.decodable(vs.FileSource(str(tmp_path / "v/x.mp4"), opener)) and not vs.decodable(Empty())
+    assert not list(vs.stream_frames(Empty(), mask=(0, 0, 1, 1)))
+    with pytest.raises(ValueError):
+        vs.stream_frames(Empty(), target_height=0)
+    spark.dataSource.register(vs.VideoFrames)
+    df = spark.read.format("video_frames").option("opener", opener).option("target_height", 3).load(str(tmp_path / "v"))
+    assert sorted((r.stream, r.frame, r.height, r.channels) for r in df.collect()) == [("x", i, 3, 3) for i in range(7)]
+    camera = vs._Camera({"opener": "tests.test_motion:camera", "frames_per_batch": "2"})
+    rows, end = camera.read(camera.initialOffset())
+    assert [r[1] for r in rows] == [0, 1] and end == {"frame": 2} and len(list(camera.readBetweenOffsets({"frame": 0}, end))) == 2
+    camera.commit(end)
+    rows, end = camera.read(end)
+    assert [r[1] for r in rows] == [2] and list(camera.read(end)[0]) == []
+
+
+class Empty:
+    def open(self):
+        return self
+
+    def read(self):
+        return False, None
+
+    def release(self):
+        pass
+
+
+class camera(Empty):
+    def __init__(self, index):
+        self.left = 3
+
+    def read(self):
+        self.left -= 1
+        return self.left >= 0, np.zeros((2, 2), np.uint8)
+
+
+def test_debug_panels_sink_and_draw_list(spark):
+    f = moving_spot(spark.createDataFrame([("s", 5, 0)], "stream string, radius int, noise int"), 60, 80, blank=4, motion=12)
+    c = Config(alpha=0.3, min_area=5, max_distance=60.0, min_distance=1.0)
+    view = {r.frame: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for r in video.panels(f, c).collect()}
+    image, bg = {r.frame: video.image_of(r) for r in f.collect()}, raster.Background(c)
+    for k in range(20):
+        want = np.vstack([image[k], bg.diff(image[k])])
+        assert (view[k] == want[..., None]).all()
+    seen = []
+
+    class Sink(video.NullSink):
+        def emit(self, frame, image, diff, events):
+            seen.append((frame, len(events)))
+
+    d = video.Detector(c, sink=Sink())
+    n = [len(d.advance(k, image[k])) for k in range(20)]
+    assert seen == list(enumerate(n))
+    events = video.detect(f, c, sink=lambda stream: video.NullSink())
+    drawn = debug.draw_list(events, 0, 10).collect()
+    live = {(r.frame_number, r.track_id): (r.x, r.y) for r in events.collect() if r.track_id is not None and r.emit_frame == r.frame_number}
+    boxes = {(r.frame, r.track): r for r in drawn if r.kind == "box"}
+    assert set(boxes) == set(live) and all(r.x2 - r.x1 == 20 and r.x1 + 10 == int(live[k][0]) for k, r in boxes.items())
+    assert sum(r.kind == "line" for r in drawn) == len(live) - len({t for _, t in live})
+
+
+def test_presets():
+    v = COMMAND_LINE_VIEW
+    assert (v.target_height, v.mask, v.fps, v.box, v.buffer) == (1080, (0.8, 0.8, 1, 1), 30, 50, 6) and LIBRARY_VIEW.buffer == 0
+
+
 def test_output_names(tmp_path):
     assert debug.output_name("", "/v/a.mkv", "mp4") == "/v/a_filtered.mp4"
     assert debug.output_name("/o/x.mp4", "/v/a.mkv", "gif") == "/o/a_filtered.gif"
