@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import drop_stashes, shared_dir, stash  # noqa: F401
+
 #: ASCII upper case to lower case; the operators fold no other letters unless they say so.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,40 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    own = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(own)
-        return own
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenflow-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stash(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def drop_stashes(*dfs: DataFrame) -> None:
-    """Delete what stash() wrote for these DataFrames; nothing that is still to be read may depend on them."""
-    for df in dfs:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bound the bytes of an Arrow batch, so that very long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bound the bytes of an Arrow batch, so that very long texts do not pile up in a Python worker. It is a setting of the
+    session, as results are run later, by the caller; one that the caller has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, size)
 
 
 def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:

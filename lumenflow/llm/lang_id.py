@@ -9,7 +9,8 @@ Prediction streams over whole texts: each gram adds its row of the weight table
 
 Nulls: texts that are null or have no letter are `und` with score 0; a null label is no training row; a null id
 counts as an empty one. Without training rows all is `und`. Repeated rows count as often as they
-are there. Empty tables give no rows. Extra columns stay.
+are there in the frequencies, and once in the sample (rows of one id, text and label are one). Empty tables give no rows.
+Extra columns stay, but for those of the names that `predict` adds.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ _tables: list[np.ndarray] = []
 def char_tables() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: whether it is a letter, and its symbol (lower case; 32 for all but letters and marks)."""
     if not _tables:
-        kind = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-        letter = np.array([k == "L" for k in kind])
-        low = np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(0x110000)], np.uint32)
-        low[np.array([k not in "LM" for k in kind])] = 32
+        letter, low = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            kind = unicodedata.category(chr(i))[0]
+            letter[i] = kind == "L"
+            if kind not in "LM":
+                low[i] = 32
+            elif len(x := chr(i).lower()) == 1:
+                low[i] = ord(x)
         _tables.extend((letter, low))
     return _tables[0], _tables[1]
 
@@ -83,8 +88,11 @@ def _frequencies(batches):
         for i in range(len(offs) - 1):
             for f, a, b in all_f:
                 flag[f[a[i] : b[i]]] = True
-            df += flag
-            flag[:] = False
+            for f, a, b in all_f:  # work by the text's length, not by the table's
+                one = f[a[i] : b[i]]
+                one = one[flag[one]]
+                flag[one] = False
+                df[np.unique(one)] += 1
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["feature", "n"])
 
@@ -163,7 +171,7 @@ class Model:
 def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from all rows of labelled: counts cover them all, the fit at most `sample` of them."""
     small_batches(labelled.sparkSession)
-    d = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("lang")).alias("h"))
+    d = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")), F.lit("lang")).alias("h"))
     counts = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
@@ -172,9 +180,11 @@ def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text",
     df = np.zeros(1 << BITS)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     idf = np.log((1 + sum(counts.values())) / (1 + df))
-    share = sample // len(labels)
+    share = max(1, sample // len(labels))
     rate = F.create_map(*[F.lit(x) for k in labels for x in (k, int(min(1.0, 0.9 * share / counts[k]) * (1 << 30)))])
     picked = d.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < rate[F.col("label")])
+    # rows alike count once here, and no more than the sample leaves the executors, whatever the ids are
+    picked = picked.groupBy("label", "h").agg(F.min("text").alias("text")).orderBy("h", "label").limit(sample)
     rows = [(r["label"], r["h"], np.frombuffer(r["f"], np.uint16), np.frombuffer(r["v"], np.float32)) for r in picked.select("text", "label", "h").mapInArrow(_sparse, "label string, h long, f binary, v binary").toLocalIterator()]
     rows = sorted(rows, key=lambda r: (r[1], r[0], r[2].tobytes()))[:sample]
     data = [(f, v * idf[f], labels.index(y)) for y, _, f, v in rows]

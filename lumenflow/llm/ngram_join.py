@@ -32,6 +32,7 @@ from .common import bounded, connected_components, drop_stashes, extended, share
 BITS = 51  #: width of a shingle hash
 CELLS = 21  #: log2 of the count cells; one byte each is sent to the executors: 2 MB at any input size
 TILE = 2048  #: rows in a slice of a long posting list
+HOT = 16 * TILE  #: a list whose member occurs more often (and 64 times as often as a cell's mean) skips the filters by neighbours
 SENT = 2_000_000  #: class keys that may be sent to all executors (16 bytes each); beyond it they are joined
 PARITY = 512  #: least bits of a parity bitmap; larger sets have the power of two from half their size on
 
@@ -318,7 +319,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
 
     counts = docs.select("text").mapInArrow(_local_counts(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     rank = np.zeros(1 << CELLS, np.uint8)
-    got = counts.select("cell", F.ceil(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("r")).toArrow()  # at most one row a cell
+    got = counts.select("cell", F.ceil(F.log2(F.col("n").cast("double")) * 4).cast("int").alias("r"), "n").toArrow()  # at most one row a cell
     rank[got.column(0).to_numpy()] = np.minimum(got.column(1).to_numpy(), 255)
     order = spark.sparkContext.broadcast(rank.tobytes())
 
@@ -333,6 +334,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
     # Two groups alone in a list must also fit by position: what follows their first common member bounds
     # the overlap, and every linked pair passes in the list of its first common member.
     posted = ranked.where("n > 0 and size(prefix) > 0").select("g", "n", F.posexplode("prefix").alias("pos", "list")).select("list", "g", (F.col("n") * (1 << 32) + F.col("pos")).alias("at"))
+    # The rank in a list's number tells how common its member is. Lists of very common ones, if there are any, are dealt by
+    # group as well: they take no part in the windows below, whose filters only save work.
+    mean = int(got.column(2).to_numpy().sum()) / (1 << CELLS)
+    hot = int(np.ceil(np.log2(max(HOT, 64 * mean)) * 4))
+    whole = None
+    if int(rank.max()) >= hot:
+        whole = posted.where(F.shiftright("list", BITS) >= hot).select("list", "g").distinct()
+        posted = posted.where(F.shiftright("list", BITS) < hot)
     posted = posted.repartition("list").dropDuplicates(["list", "g"])
     by_size = W.partitionBy("list").orderBy("at", "g")
     posted = posted.withColumn("before", F.lag("at").over(by_size)).withColumn("after", F.lead("at").over(by_size)).withColumn("lists", F.count("*").over(W.partitionBy("list")))
@@ -345,7 +354,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
 
     fits = F.coalesce(fit("before", "at"), F.lit(False)) | F.coalesce(fit("at", "after"), F.lit(False))
     within = groups.where("members > 1").select(F.xxhash64("g", F.lit("within")).alias("list"), "g")
-    shared = stash(posted.withColumn("fits", fits).where("fits").select("list", "g").union(within))
+    shared = posted.withColumn("fits", fits).where("fits").select("list", "g").union(within)
+    shared = stash(shared if whole is None else shared.union(whole))
     rows = shared.join(classes.select("g", "sig", "n", "bits"), "g").drop("g")
     sizes = stash(shared.join(groups, "g").groupBy("list").agg(F.sum("members").alias("size")))
 

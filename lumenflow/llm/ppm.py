@@ -15,24 +15,27 @@ bytes, and only those of one byte are sent with every part. The unigram base use
 all tokens: those with at least 1/HEAD of all occurrences (at most HEAD of them) are sent along, the others are joined.
 
 Nulls: a null text is empty (it has its end only); null ids count as empty ones. Repeated rows give
-repeated rows. Without training texts every byte has probability 1/256. Empty tables: no rows. Extra columns are ignored.
+repeated rows. Without training texts every byte has probability 1/256. Empty tables: no rows. Extra columns stay, but for the
+text and those of the names that are added (score, n_tokens, head_log, head_known, tail, n_known, train_tokens, base_score, _row).
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import extended, shared_dir, small_batches, stash, table
+from .common import drop_stashes, extended, shared_dir, small_batches, stash, table
 
 ORDER = 5  #: at most 6: contexts and their symbol are one 64-bit number
 END = 255
-PART = 3_000_000
+PART = 3_000_000  #: about 250 MB in a task, 200 MB on the driver
 HEAD = 1 << 21
 SLOTS = 22  #: log2 of the slots of the quick look-up table
 END_TOKEN = 0x0E4D0E4D
@@ -222,17 +225,30 @@ class Frozen:
         return out
 
 
-def _scored(sent, head, first: bool):
+def _part_scores(model, texts: pa.Array) -> np.ndarray:
+    data, offs = K.view(texts)
+    keys, at = keys_of(data, offs, model.order)
+    c = np.concatenate(([0.0], np.cumsum(model.score(keys))))
+    return c[at[1:]] - c[at[:-1]]
+
+
+def _more(sent):
+    """(_row, more): what a further part of the trie adds to each row's score."""
+
     def run(batches):
-        model = sent.value
         for p in K.pieces(batches, "text"):
-            data, offs = K.view(p.column(p.schema.get_field_index("text")))
-            keys, at = keys_of(data, offs, model.order)
-            c = np.concatenate(([0.0], np.cumsum(model.score(keys))))
-            score = c[at[1:]] - c[at[:-1]]
-            if not first:
-                yield p.set_column(p.schema.get_field_index("score"), "score", pa.array(score + p.column(p.schema.get_field_index("score")).to_numpy()))
-                continue
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(_part_scores(sent.value, p.column(1)))], ["_row", "more"])
+
+    return run
+
+
+def _scored(sent, head):
+    def run(batches):
+        for p in K.pieces(batches, "text"):
+            texts = p.column(p.schema.get_field_index("text"))
+            score = _part_scores(sent.value, texts)
+            data, offs = K.view(texts)
+            rest = [i for i, name in enumerate(p.schema.names) if name != "text"]
             known, logs, end_log, end_known = head.value
             h, of = word_hashes(data, offs)
             i = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -241,8 +257,8 @@ def _scored(sent, head, first: bool):
             m = np.concatenate(([0], np.cumsum(ok)))
             tail = np.concatenate(([0], np.cumsum(~ok))).astype(np.int32)[of]
             yield pa.RecordBatch.from_arrays(
-                [*p.columns, pa.array(score), pa.array(np.diff(of) + 1), pa.array(s[of[1:]] - s[of[:-1]] + end_log), pa.array(m[of[1:]] - m[of[:-1]] + end_known), pa.ListArray.from_arrays(pa.array(tail), pa.array(h[~ok].view(np.int64)))],
-                [*p.schema.names, "score", "n_tokens", "head_log", "head_known", "tail"])
+                [*(p.column(i) for i in rest), pa.array(score), pa.array(np.diff(of) + 1), pa.array(s[of[1:]] - s[of[:-1]] + end_log), pa.array(m[of[1:]] - m[of[:-1]] + end_known), pa.ListArray.from_arrays(pa.array(tail), pa.array(h[~ok].view(np.int64)))],
+                [*(p.schema.names[i] for i in rest), "score", "n_tokens", "head_log", "head_known", "tail"])
 
     return run
 
@@ -251,7 +267,7 @@ def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: in
     """docs (id, text) plus n_tokens, n_known, train_tokens, base_score and score (log10 of the text's
     probability), learnt from training (text). The order is 2 to 6."""
     spark = docs.sparkSession
-    docs = docs.drop("score", "n_tokens", "head_log", "head_known", "tail", "n_known", "train_tokens", "base_score")
+    docs = docs.drop("score", "n_tokens", "head_log", "head_known", "tail", "n_known", "train_tokens", "base_score", "_row")
     shared_dir(spark)
     small_batches(spark)
     counts = training.select("text").mapInArrow(_counts(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -285,15 +301,24 @@ def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: in
                 held = 0
             held += r["count"]
     cuts.append(1 << 8 * (order + 1))
-    d = docs
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+    # with several parts the rows are numbered and written once; a part then gives one number a row, and these are summed
+    every, many = docs.withColumn("_row", F.monotonically_increasing_id()), len(cuts) > 2
+    if many:
+        every = stash(every, "zstd")
+    d, further = None, []
+    for lo, hi in zip(cuts, cuts[1:]):
         k, n = ordered((grams if distinct <= part else grams.where((F.col("key") >= lo) & (F.col("key") < hi))).toArrow())
         sent = spark.sparkContext.broadcast(Frozen(k, n, lk, ln, lo, hi, order))
-        schema = d.schema if i else extended(d.schema, "score double, n_tokens long, head_log double, head_known long, tail array<long>")
-        d = d.mapInArrow(_scored(sent, sent_head, not i), schema)
-        if hi < cuts[-1]:
-            d = stash(d)
-    d = stash(d.drop("text").withColumn("_row", F.monotonically_increasing_id()))
+        if d is None:
+            schema = T.StructType([f for f in extended(every.schema, "score double, n_tokens long, head_log double, head_known long, tail array<long>").fields if f.name != "text"])
+            d = stash(every.mapInArrow(_scored(sent, sent_head), schema))
+        else:
+            further.append(stash(every.select("_row", "text").mapInArrow(_more(sent), "_row long, more double")))
+        sent.destroy()
+    if many:
+        drop_stashes(every)
+        more = reduce(DataFrame.union, further).groupBy("_row").agg(F.sum("more").alias("more"))
+        d = d.join(more, "_row").withColumn("score", F.col("score") + F.col("more")).drop("more")
     rare = d.select("_row", F.explode("tail").alias("key")).join(words, "key", "left")
     rare = rare.groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.count("n").alias("rare_known"))
     per = math.log10(total + 0.5 * (kinds + 1))
@@ -303,7 +328,9 @@ def score_texts(docs: DataFrame, training: DataFrame, part: int = PART, head: in
 
 
 def score_adaptive(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """docs plus score: each text coded by a trie that starts empty."""
+    """docs plus score, in place of a column of that name: each text coded by a trie that starts empty. Byte by byte, in Python;
+    a task holds one text's trie, whose size the text bounds."""
+    docs = docs.drop("score")
 
     def run(batches):
         for b in batches:

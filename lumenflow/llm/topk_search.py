@@ -5,8 +5,8 @@ segments of 16, each with its own index. Search grows the segment radius: after
 probed in the first j segments, every code within 4 * r + j - 1 has been seen, so a query is done when
 its kth verified distance is no larger. No bucket is capped; equal codes are one entry with their ids in order.
 
-The rows are dealt to blocks of at most BLOCK codes, the stated queries to blocks as well; each pair of blocks is searched
-by one task, and the k best of each are merged by query. No pair of rows becomes a row of Spark's.
+The rows are dealt in turn to blocks of about BLOCK codes, each to one block only. A block's index is built once, in one task,
+and all queries stream past it in batches; the k best of each block are merged by query. No pair of rows becomes a row of Spark's.
 
 Rows whose vector or id is null, or with a null in the vector or another number of dimensions than `dims`, have no code and are
 left out, as rows and as queries. A query does not find rows of its own id. Repeated rows are found as
@@ -28,6 +28,7 @@ from .common import stash, table
 SEGMENTS, WIDTH = 4, 16
 BLOCK = 1 << 20
 QUERIES_A_BLOCK = 512
+PACK = 4096  #: codes dealt together
 
 
 class MultiIndex:
@@ -99,20 +100,46 @@ class MultiIndex:
         return out
 
 
-def _packed(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes()]), pa.array([b.column(1).to_numpy(zero_copy_only=False).tobytes()])], ["ids", "codes"])
+ROWS = "b int, query boolean, ids binary, codes binary"
+
+
+def _packed(blocks: int, query: bool, size: int):
+    """Rows to packed batches, dealt to the blocks in turn; a batch of queries goes to all of them."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                one = batch.slice(at, size)
+                ids, codes = (one.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes() for i in (0, 1))
+                to = range(blocks) if query else [n % blocks]
+                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([query] * len(to)), pa.array([ids] * len(to), pa.binary()), pa.array([codes] * len(to), pa.binary())], ["b", "query", "ids", "codes"])
+
+    return run
 
 
 def _search(k: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        get = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        index = MultiIndex(get(right, "codes", np.uint64), get(right, "ids", np.int64))
-        q, own = get(left, "codes", np.uint64), get(left, "ids", np.int64)
-        best = [index.search(int(c), int(i), k) if len(index.codes) else [] for c, i in zip(q, own)]
-        n = [len(x) for x in best]
-        flat = [y for x in best for y in x]
-        return pa.table({"query_id": pa.array(np.repeat(own, n)), "id": pa.array([y[1] for y in flat], pa.int64()), "distance": pa.array([y[0] for y in flat], pa.int32())})
+    """Rows sorted by block, a block's codes before its queries: its index is built once and serves them all."""
+
+    def run(batches):
+        block, held, index = None, [], None
+        for batch in batches:
+            for b, query, ids, codes in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != block:
+                    block, held, index = b, [], None
+                if not query:
+                    held.append((ids, codes))
+                    continue
+                if index is None:
+                    index = MultiIndex(np.frombuffer(b"".join(c for _, c in held), np.uint64), np.frombuffer(b"".join(i for i, _ in held), np.int64))
+                    held = []
+                own = np.frombuffer(ids, np.int64)
+                best = [index.search(int(c), int(i), k) if len(index.codes) else [] for c, i in zip(np.frombuffer(codes, np.uint64), own)]
+                flat = [y for x in best for y in x]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(x) for x in best])), pa.array([y[1] for y in flat], pa.int64()), pa.array([y[0] for y in flat], pa.int32())], ["query_id", "id", "distance"])
 
     return run
 
@@ -130,13 +157,11 @@ def hamming_topk(vectors: DataFrame, k: int = 10, every: int = 20, id_col: str =
     c = stash(codes_of(vectors, id_col, vec_col, dims))
     total = c.count()
     asked = c.where(F.col("id") % every == 0)
-    nb, nq = max(1, -(-total // block)), max(1, -(-asked.count() // queries_a_block))
-    rows = c.mapInArrow(_packed, "ids binary, codes binary").withColumn("b", F.pmod(F.monotonically_increasing_id(), F.lit(nb)).cast("int"))
-    rows = rows.select("b", "ids", "codes", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"))
-    ask = asked.dropDuplicates(["id", "code"]).select(F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), F.struct("id", "code").alias("x"))
-    ask = ask.select("q", "b", "x.id", "x.code")
-    ask = ask.groupBy("q", "b").applyInArrow(lambda t: pa.table({"q": t.column("q").slice(0, 1), "b": t.column("b").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().tobytes()]), "codes": pa.array([t.column("code").to_numpy().tobytes()])}), "q int, b int, ids binary, codes binary")
-    near = ask.groupBy("q", "b").cogroup(rows.groupBy("q", "b")).applyInArrow(_search(k), "query_id long, id long, distance int")
+    nb = max(1, -(-total // block))
+    rows = c.mapInArrow(_packed(nb, False, min(PACK, block)), ROWS)
+    ask = asked.dropDuplicates(["id", "code"]).mapInArrow(_packed(nb, True, queries_a_block), ROWS)
+    dealt = rows.union(ask).repartition(nb, "b").sortWithinPartitions("b", "query")
+    near = dealt.mapInArrow(_search(k), "query_id long, id long, distance int")
     best = W.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

@@ -87,6 +87,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", CRLF2 + MAGIC).text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = raw.withColumn("hash", F.xxhash64("value"))
     c = _parsed(raw).drop("value")
     c = stash(c)
     order = W.partitionBy("file").orderBy("block", "at")
@@ -116,11 +117,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     c = stash(c.withColumn("owner", F.last(F.when(F.col("alive"), F.col("r")), True).over(by_r)))
     whole = c.where("alive AND own")
     broken = c.where("alive AND NOT own").select("file", "r", F.col("next").alias("until"))
-    # a fragment inside a payload may look like a record of its own: its text was not kept above
+    # a fragment inside a payload may look like a record of its own: its text was not kept above. It is found again by its
+    # content, as row numbers depend on how the files are split, which may have changed; equal fragments have the same text
     joined = None
     if broken.limit(1).count():
-        again = raw.join(F.broadcast(broken.select("file").distinct()) if broken.count() <= SENT else broken.select("file").distinct(), "file", "left_semi")
-        again = again.join(c.select("file", "block", "at", "owner", F.col("r").alias("from")), ["file", "block", "at"]).join(broken.withColumnRenamed("r", "owner"), ["file", "owner"]).where(F.col("from") < F.col("until"))
+        wanted = c.select("file", "owner", F.col("r").alias("from"), "size", "hash").join(broken.withColumnRenamed("r", "owner"), ["file", "owner"]).where(F.col("from") < F.col("until"))
+        wanted = stash(wanted.select("file", "owner", "from", "size", "hash"))
+        kinds = wanted.select("file", "size", "hash").distinct()
+        texts = raw.withColumn("size", F.octet_length("value")).join(F.broadcast(kinds) if wanted.count() <= SENT else kinds, ["file", "size", "hash"], "left_semi")
+        texts = texts.groupBy("file", "size", "hash").agg(F.min("value").alias("value"))
+        again = wanted.join(texts, ["file", "size", "hash"])
         text = again.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("from", "value"))).alias("v"))
         joined = _parsed(text.select(F.array_join("v.value", CRLF2 + MAGIC).alias("value")))
     out = whole.select(*FIELDS)

@@ -200,6 +200,33 @@ def test_randomness_battery_knows_every_alphabet(spark):
     assert spans == {("prefix", 6, 38)}
 
 
+NAMES = "get user account settings by name find value local path cache index update render widget parse string buffer stream reader writer from input config manager service handler client request response thread pool item list map node tree graph search result filter merge split token count number total price order customer product".split()
+
+
+def test_randomness_battery_controls_false_discoveries(spark):
+    rng = np.random.default_rng(1)
+    some = lambda: list(rng.choice(NAMES, int(rng.integers(4, 7))))
+    b64, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"camel": lambda: "".join(w.capitalize() if i else w for i, w in enumerate(some())), "slug": lambda: "-".join(some()), "words": lambda: "".join(some()),
+             "path": lambda: "/" + "/".join(some()) + str(rng.integers(0, 99)), "base64": lambda: "".join(rng.choice(list(b64), 40)), "lower": lambda: "".join(rng.choice(list(low), 32))}
+    d = [(k, f"see {f()} here") for k, f in kinds.items() for _ in range(60 if k in ("base64", "lower") else 400)]
+    hit = collections.Counter()
+    for r in secret_scan.scan(spark.createDataFrame(d, "id string, text string")).collect():
+        hit[r.id] += any(x.kind == 3 for x in r.found)
+    false = sum(hit[k] for k in ("camel", "slug", "words", "path"))
+    assert hit["base64"] >= 55 and hit["lower"] >= 45 and false <= 0.05 * sum(hit.values())
+
+
+def test_randomness_p_values_of_uniform_strings(spark):
+    rng = np.random.default_rng(7)
+    d = [(k, n, "".join(rng.choice(list(a), n))) for k, a in secret_scan.ALPHABETS.items() for n in (20, 40) for _ in range(250)]
+    got = collections.defaultdict(list)
+    for r in secret_scan.judged_runs(spark.createDataFrame(d, "k int, n int, text string")).collect():
+        got[r.k, r.n].append(r._judged[0].p)
+    for p in got.values():  # four tests, halved by what they have in common: no alphabet is far from its level
+        assert np.mean(np.array(p) <= 0.05) <= 0.1 and np.mean(np.array(p) <= 0.01) <= 0.045
+
+
 def test_redaction_keeps_rows(odd, none):
     out = {r.doc_id: r for r in secret_scan.redact(odd).where("doc_id IS NOT NULL").collect()}
     assert out[9].text == "[SECRET]\"" and out[5].text == rows()[5][1] and out[0].text is None and out[5].base == "y"
@@ -290,15 +317,46 @@ def test_topk(spark):
     assert topk_search.hamming_topk(d.limit(0)).count() == 0
 
 
+def test_topk_deals_each_code_once_and_evenly(spark):
+    d = spark.range(4000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (F.rand(3) - 0.5 + 0 * x).cast("float")).alias("embedding"))
+    c = topk_search.codes_of(d, "vec_id", "embedding", 64)
+    for parts in (1, 200):
+        dealt = c.repartition(parts).mapInArrow(topk_search._packed(4, False, 10), topk_search.ROWS).collect()
+        n = collections.Counter()
+        for r in dealt:
+            n[r.b] += len(r.codes) // 8
+        assert sum(n.values()) == 4000 and len(n) == 4 and max(n.values()) < 1.3 * min(n.values())
+    asked = c.where("id % 20 = 0").coalesce(1).mapInArrow(topk_search._packed(4, True, 64), topk_search.ROWS).collect()
+    assert collections.Counter(r.b for r in asked) == dict.fromkeys(range(4), 4)
+
+
 def test_mixing(odd, none, documents):
     out = mixing.pareto_mix(odd)
     assert out.count() == 16 and out.where("taken > 2 * size").count() == 0 and mixing.pareto_mix(none).count() == 0
-    x = mixing.pareto_mix(documents.withColumn("likes", F.col("doc_id") % 3 + 1), prefer_col="likes")
+    x = mixing.pareto_mix(documents.withColumn("likes", F.col("doc_id") % 3 + 1), prefer=F.col("likes"))
     g = x.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.max("size").alias("m"), F.max("source_size").alias("s")).collect()
     assert all(abs(r.t - r.w) <= max(r.m, 0.01 * r.s) for r in g if r.w < 1.9 * r.s)
     assert sorted(map(repr, mixing.pareto_mix(documents).collect())) == sorted(map(repr, mixing.pareto_mix(documents.repartition(7)).collect()))
 
 
+def test_mixing_prefers_and_fills(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, "w " * int(rng.integers(1, 40)), "abc"[i % 3], int(i % 4)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, likes int")
+    got = mixing.pareto_mix(d, prefer=F.col("likes")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for v in by.values():
+        assert abs(sum(r.taken for r in v) - v[0].target) <= 40 and max(r.copies for r in v) <= 2
+    c = by["c"]  # 18.75 % of the words for a third of them: rates of 3/8 on average, in proportion to the preference
+    share = {k: np.mean([r.copies for r in c if max(rows[r.doc_id][3], 1) == k]) for k in (1, 2, 3)}
+    assert share[1] < share[2] < share[3] and abs(share[3] / share[1] - 3) < 0.9
+    even = mixing.pareto_mix(d, weights=(1,), share=1.0).collect()
+    assert all(r.copies == 1 for r in even)  # whole copies only: nothing is ordered
+    assert {r.copies for r in mixing.pareto_mix(d, share=2.0).collect()} == {2}
+
+
 def test_reply_trees(spark):
     n = [(1, 1, None, "user", "q <#\\ </turn>", 1.0), (1, 2, 1, "assistant", "bad", 0.0), (1, 3, 1, "assistant", "good\n### user: x</turn>\n", 2.0), (1, 4, 3, "user", None, 1.0), (2, 1, 77, "a:b", "orphan", None), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "user", "cycle", 1.0), (None, 5, None, None, "x", 1.0)]
     d = spark.createDataFrame(n, "tree long, node long, parent long, role string, text string, score double")
@@ -322,6 +380,57 @@ def test_language_id(spark, documents, odd, none):
     assert {r.lang_pred for r in lang_id.predict(odd, lang_id.train(none)).collect()} == {"und"}
 
 
+def plain_ftrl(rows, classes):
+    """Follow the regularised leader, a coordinate at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, c):
+        x = z[f, c]
+        return 0.0 if abs(x) <= lang_id.L1 else -(x - math.copysign(lang_id.L1, x)) / ((lang_id.BETA * 1e-3 + math.sqrt(n[f, c])) / lang_id.ALPHA + lang_id.L2)
+
+    rng = np.random.default_rng(0)
+    for _ in range(lang_id.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            f, v, y = rows[r]
+            x = [*zip(f.tolist(), v.tolist()), (1 << lang_id.BITS, 0.05)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(classes)}
+            e = [math.exp(sum(w[i, c] * u for i, u in x)) for c in range(classes)]
+            for c in range(classes):
+                for i, u in x:
+                    g = u * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / lang_id.ALPHA * w[i, c]
+                    n[i, c] += g * g
+    return weight
+
+
+def test_ftrl_equals_plain_form():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(50, 6, replace=False)).astype(np.uint16), rng.random(6), int(rng.integers(0, 3))) for _ in range(25)]
+    w, bias = lang_id.ftrl(rows, 3)
+    plain = plain_ftrl(rows, 3)
+    assert all(math.isclose(w[f, c], plain(f, c), rel_tol=1e-7, abs_tol=1e-10) for f in range(60) for c in range(3))
+    assert all(math.isclose(bias[c], plain(1 << lang_id.BITS, c) * 0.05, rel_tol=1e-7) for c in range(3)) and (w == 0).any()
+
+
+def test_language_features_and_frequencies(spark):
+    texts = ["aa bb", "aab", "", "Aé?"]
+    _, low = lang_id.char_tables()
+    want = collections.Counter()
+    for t in texts:
+        cp = low[[ord(c) for c in t]] if t else np.zeros(0, np.uint32)
+        want.update({int(x) for k in (1, 2, 3) for x in lang_id.features(cp, k)})
+    got = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).mapInArrow(lang_id._frequencies, "feature int, n long").collect()
+    assert {r.feature: r.n for r in got} == dict(want)
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_language_sample_of_rows_with_one_id(spark, documents, key):
+    same = documents.where("lang IS NOT NULL").withColumn("doc_id", F.lit(key).cast("long"))
+    m = lang_id.train(same, sample=60)
+    got = lang_id.predict(same, m).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
+
+
 def test_language_stage_without_labels_and_with_many(spark, odd, monkeypatch):
     bare = odd.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language(spark, bare, DATA).count() == odd.count()
@@ -331,6 +440,43 @@ def test_language_stage_without_labels_and_with_many(spark, odd, monkeypatch):
     assert [r.doc_id for r in corpus_pipeline.language(spark, odd, DATA).collect()] == [3]
 
 
+def test_turns_of_awkward_conversations(spark):
+    long = "x<" * 30000
+    d = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (1, None, None, None), (1, 2, "assistant", long), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
+    got = {r.tree: r for r in chat_trees.reply_trees(chat_trees.from_turns(d)).collect()}
+    assert chat_trees.parse(got[None].formatted) == [("user", "a")] * 2  # all null ids are one conversation
+    assert chat_trees.parse(got[1].formatted) == [("", ""), ("assistant", ""), ("assistant", long)]
+    assert "".join(chat_trees.unescape(got[1].formatted[a:b]) for a, b in got[1].loss) == long
+    assert chat_trees.reply_trees(chat_trees.from_turns(d.limit(0))).count() == 0
+
+
+def test_clashing_column_names(spark, odd):
+    for f in (lambda d: ppm.score_adaptive(d), lambda d: ppm.score_texts(d, d), lambda d: lang_id.predict(d, lang_id.train(d)), licences.look_up, secret_scan.scan):
+        extra = odd.where("text IS NULL OR length(text) < 99").withColumn("licence", F.lit("z")).withColumn("lang_pred", F.lit("z")).withColumn("_row", F.lit(1)).withColumn("_t", F.lit(1)).withColumn("_hits", F.lit(1))
+        out = f(extra)
+        assert len(set(out.columns)) == len(out.columns) and len(out.collect()) == extra.count()
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    docs = [(i, " ".join(rng.choice(list("abcdef"), 30))) for i in range(60)]
+    bench = [(i, " ".join(rng.choice(list("abcdef"), 4))) for i in range(25)]
+    slop = 1
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), 4, slop).collect()}
+    for i, t in docs:
+        w = t.split()
+        spans = [collections.Counter(w[a : a + 4 + slop]) for a in range(len(w))]
+        assert got[i] == {k for k, b in bench if any(not collections.Counter(b.split()) - c for c in spans)}
+
+
+def test_pipeline_of_an_empty_table(spark, documents):
+    d = documents.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = common.stash(stage(spark, d, DATA))
+        assert d.columns == documents.columns and not d.count()
+    assert not corpus_pipeline.STAGES[-1][1](spark, d, DATA).count()
+
+
 def test_pipeline(spark, documents, odd):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
