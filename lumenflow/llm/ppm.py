@@ -37,6 +37,7 @@ ORDER = 5  #: at most 6: contexts and their symbol are one 64-bit number
 END = 255
 PART = 3_000_000  #: about 250 MB in a task, 200 MB on the driver
 HEAD = 1 << 21
+HELD = 8_000_000  #: symbols counted at once
 SLOTS = 22  #: log2 of the slots of the quick look-up table
 END_TOKEN = 0x0E4D0E4D
 
@@ -104,9 +105,14 @@ def shorter(keys: np.ndarray, by: int) -> np.ndarray:
     return (keys >> np.uint64(8 * (by + 1))) << np.uint64(8) | keys & np.uint64(255)
 
 
-def _count(kind: int, keys: np.ndarray) -> pa.RecordBatch:
-    keys, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+def _count(kind: int, held: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts of the keys; empties the list, so that they are there once and are sorted in place."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    at = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1]))[: len(keys)])
+    n = np.diff(np.append(at, len(keys)))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(keys[at].view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +130,13 @@ def _counts(order: int):
             words.append(word_hashes(data, offs)[0])
             texts += len(offs) - 1
             size += len(grams[-1])
-            if size >= 12_000_000:
-                yield _count(0, np.concatenate(grams))
-                yield _count(1, np.concatenate(words))
-                grams, words, size = [], [], 0
+            if size >= HELD:
+                yield _count(0, grams)
+                yield _count(1, words)
+                size = 0
         if grams:
-            yield _count(0, np.concatenate(grams))
-            yield _count(1, np.concatenate(words))
+            yield _count(0, grams)
+            yield _count(1, words)
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0]), pa.array([texts])], ["kind", "key", "n"])
 
     return run
