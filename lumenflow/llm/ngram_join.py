@@ -9,9 +9,11 @@ parity bitmap (its Hamming distance never exceeds the symmetric difference), and
 Rarity comes from counts of all shingles in fixed hash cells. Any order gives the same links; this
 one keeps common passages out of the prefixes. Posting lists above TILE rows are cut into tiles of
 pairs of slices, so one task holds at most two slices. Copies are never expanded into pairs: round
-one verifies only a spanning forest of the filtered pairs in each list, round two every filtered
-pair whose ends are still in different components. So the components are exact, and no link
-between different components is lost.
+one verifies only a spanning forest of the filtered pairs in each list. Every linked pair is connected
+by such pairs, true or not, so components that refuted pairs join into a cluster may still be linked.
+Round two brings the sets of a cluster together (tiled like a list) and compares there what is still in
+different components; only links that join two components leave a tile, fewer than it has rows.
+So the components are exact, and no link between different components is lost.
 
 Nulls, empty texts: empty set, linked with nothing. A null doc_id takes part but never names a
 component (its component_id is null if it stands alone). Repeated rows fall into one class. Extra
@@ -31,7 +33,8 @@ from .common import bounded, connected_components, drop_stashes, extended, share
 
 BITS = 51  #: width of a shingle hash
 CELLS = 21  #: log2 of the count cells; one byte each is sent to the executors: 2 MB at any input size
-TILE = 2048  #: rows in a slice of a long posting list
+TILE = 2048  #: rows in a slice of a long posting list or of a large cluster
+MEMBERS = 1_000_000  #: members of the sets in a slice of a cluster, on average
 HOT = 16 * TILE  #: a list whose member occurs more often (and 64 times as often as a cell's mean) skips the filters by neighbours
 SENT = 2_000_000  #: class keys that may be sent to all executors (16 bytes each); beyond it they are joined
 PARITY = 512  #: least bits of a parity bitmap; larger sets have the power of two from half their size on
@@ -160,63 +163,56 @@ class _Lists:
         return ok
 
 
-def _list_pairs(rows: _Lists, at: int, m: int, comp, forest) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered pairs of one posting list: a spanning forest, or all that cross components."""
+def _list_pairs(rows: _Lists, at: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the filtered pairs of one posting list."""
     found_i, found_j = [], []
     root = np.arange(m)
     for first in range(1, m, 64):
         js = np.arange(first, min(first + 64, m))
         jj, ii = np.meshgrid(js, np.arange(js[-1]), indexing="ij")
         keep = ii < jj
-        if comp is not None:
-            keep &= comp[ii] != comp[jj]
         ii, jj = ii[keep], jj[keep]
         ok = rows.same(ii + at, jj + at)
         ii, jj = ii[ok], jj[ok]
-        if forest:
-            while len(ii):
-                alive = root[ii] != root[jj]
-                ii, jj = ii[alive], jj[alive]
-                if len(ii):
-                    _, pick = np.unique(jj[::-1], return_index=True)  # of each j, its nearest earlier neighbour
-                    for x in len(jj) - 1 - pick:
-                        a, b = root[ii[x]], root[jj[x]]
-                        if a != b:
-                            root[root == max(a, b)] = min(a, b)
-                            found_i.append(ii[x])
-                            found_j.append(jj[x])
-        else:
-            found_i.extend(ii)
-            found_j.extend(jj)
+        while len(ii):
+            alive = root[ii] != root[jj]
+            ii, jj = ii[alive], jj[alive]
+            if len(ii):
+                _, pick = np.unique(jj[::-1], return_index=True)  # of each j, its nearest earlier neighbour
+                for x in len(jj) - 1 - pick:
+                    a, b = root[ii[x]], root[jj[x]]
+                    if a != b:
+                        root[root == max(a, b)] = min(a, b)
+                        found_i.append(ii[x])
+                        found_j.append(jj[x])
     return np.array(found_i, np.int64), np.array(found_j, np.int64)
 
 
-def _edges(t: int, forest: bool):
-    """Pairs of class keys out of rows sorted by their list."""
+def _blocks(batches):
+    """Tables of whole tiles out of rows sorted by tile."""
+    held = None
+    for b in batches:
+        x = pa.Table.from_batches([b])
+        x = x if held is None else pa.concat_tables([held, x])
+        tile = x.column("tile").to_numpy()
+        last = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
+        if last:
+            yield x.slice(0, last)
+        held = x.slice(last)
+    if held is not None and held.num_rows:
+        yield held
 
-    def blocks(batches):
-        held = None
-        for b in batches:
-            x = pa.Table.from_batches([b])
-            x = x if held is None else pa.concat_tables([held, x])
-            tile = x.column("tile").to_numpy()
-            last = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            if last:
-                yield x.slice(0, last)
-            held = x.slice(last)
-        if held is not None and held.num_rows:
-            yield held
+
+def _edges(t: int):
+    """Pairs of class keys out of rows sorted by their list."""
 
     def run(batches):
-        for x in blocks(batches):
+        for x in _blocks(batches):
             x = x.combine_chunks()
             tile = x.column("tile").to_numpy()
             ns = x.column("n").to_numpy()
             sig = x.column("sig").combine_chunks()
             rows = _Lists(ns, x.column("bits").to_pylist(), t)
-            comp = None
-            if "comp" in x.column_names:
-                comp = x.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
             at = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
             size = np.diff(np.append(at, len(tile)))
             a, b = [], []
@@ -227,14 +223,11 @@ def _edges(t: int, forest: bool):
             for d in range(1, 8):
                 i = pos[pos + d < end]
                 j = i + d
-                if comp is not None:
-                    cross = comp[i] != comp[j]
-                    i, j = i[cross], j[cross]
                 ok = rows.same(i, j)
                 a.append(i[ok])
                 b.append(j[ok])
             for s, n in zip(at[~small], size[~small]):
-                i, j = _list_pairs(rows, s, n, None if comp is None else comp[s : s + n], forest)
+                i, j = _list_pairs(rows, s, n)
                 a.append(i + s)
                 b.append(j + s)
             a, b = np.concatenate(a), np.concatenate(b)
@@ -265,23 +258,64 @@ def _wanted_sets(k: int, wanted):
     return run
 
 
+def _similar(p: np.ndarray, q: np.ndarray, t: int) -> bool:
+    both = np.concatenate((p, q))
+    both.sort()
+    i = int((both[1:] == both[:-1]).sum())
+    return 100 * i >= t * (len(p) + len(q) - i)
+
+
 def _linked(t: int):
     def run(batches):
         for b in batches:
-            keep = []
-            for p, q in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort()
-                i = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * i >= t * (len(p) + len(q) - i))
+            keep = [_similar(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), t) for p, q in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(docs: DataFrame, edges: DataFrame, k: int, t: int) -> DataFrame:
-    """The edges whose sets really have the similarity."""
+def _cluster_links(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """Linked rows of a tile that join two components; root, the rows' components, is changed."""
+    rows = _Lists(np.array([len(x) for x in sets], np.int64), [_parity(x) for x in sets], t)
+    found = []
+    for first in range(1, len(sets), 64):
+        js = np.arange(first, min(first + 64, len(sets)))
+        jj, ii = np.meshgrid(js, np.arange(js[-1]), indexing="ij")
+        keep = (ii < jj) & (root[ii] != root[jj]) & (side[ii] * side[jj] <= 0)
+        ii, jj = ii[keep], jj[keep]
+        ok = rows.same(ii, jj)
+        for a, b in zip(ii[ok], jj[ok]):
+            x, y = root[a], root[b]
+            if x != y and _similar(sets[a], sets[b], t):
+                root[root == max(x, y)] = min(x, y)
+                found.append((a, b))
+    return found
+
+
+def _crossing(t: int):
+    """Pairs of components with linked sets out of rows sorted by their cluster: in each tile a spanning forest of them."""
+
+    def run(batches):
+        for x in _blocks(batches):
+            x = x.combine_chunks()
+            tile, side = x.column("tile").to_numpy(), x.column("side").to_numpy()
+            comp = x.column("comp").combine_chunks()
+            root = comp.dictionary_encode().indices.to_numpy(zero_copy_only=False).copy()
+            at = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+            found = []
+            for s, e in zip(at, np.append(at[1:], len(tile))):
+                sets = [np.frombuffer(v, np.uint64) for v in x.column("members").slice(s, e - s).to_pylist()]
+                found += [(s + a, s + b) for a, b in _cluster_links(sets, side[s:e], root[s:e], t)]
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([comp.take(pa.array(a)), comp.take(pa.array(b))], ["x", "y"])
+        K.release()
+
+    return run
+
+
+def _verified(docs: DataFrame, edges: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
+    """The edges whose sets really have the similarity, and the sets of all ends."""
     spark = docs.sparkSession
     keys = edges.select(F.col("a").alias("sig")).union(edges.select(F.col("b").alias("sig"))).distinct()
     keys = stash(keys)
@@ -291,21 +325,38 @@ def _verified(docs: DataFrame, edges: DataFrame, k: int, t: int) -> DataFrame:
     sets = docs.select("text").mapInArrow(_wanted_sets(k, wanted), "sig binary, members binary")
     if wanted is None:
         sets = sets.join(keys, "sig", "left_semi")
-    sets = stash(sets.groupBy("sig").agg(F.min("members").alias("members")))
+    sets = stash(sets.groupBy("sig").agg(F.min("members").alias("members")).withColumn("n", (F.length("members") / 8).cast("long")))
     pairs = edges.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("p")), "a").join(sets.select(F.col("sig").alias("b"), F.col("members").alias("q")), "b")
     out = stash(pairs.select("a", "b", "p", "q").mapInArrow(_linked(t), "a binary, b binary"))
-    drop_stashes(keys, sets)
-    return out
+    drop_stashes(keys)
+    return out, sets
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """Rows of a list dealt to tiles: short lists are one tile, long ones all pairs of their slices."""
+    """Rows of a list dealt to tiles: short lists are one tile, long ones all pairs of their slices. In a tile of two slices
+    side is -1 or 1, by slice; in a tile of one it is 0."""
     k = F.ceil(F.col("size") / TILE).cast("int")
     s = F.pmod(F.xxhash64("sig"), k.cast("long")).cast("int")
     rows = rows.withColumn("k", k).withColumn("s", s)
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tile = F.when(F.col("k") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("s", "o"), F.greatest("s", "o")))
-    return rows.withColumn("tile", tile).drop("k", "s", "o", "size", "list")
+    return rows.withColumn("tile", tile).withColumn("side", F.signum(F.col("s") - F.col("o")).cast("int")).drop("k", "s", "o", "size", "list")
+
+
+def _joined(sets: DataFrame, first: DataFrame, linked: DataFrame, comps: DataFrame, t: int) -> DataFrame:
+    """Round two: (v, comp) of the components that further links join; first are all filtered pairs of round one, linked the true ones."""
+    ends = stash(sets.select("sig", "n").join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")))
+    at = lambda end, name: ends.select(F.col("sig").alias(end), F.col("comp").alias(name))
+    refuted = first.join(linked, ["a", "b"], "left_anti").join(at("a", "x"), "a").join(at("b", "y"), "b").where("x != y")
+    clusters = connected_components(refuted, "x", "y").select(F.col("v").alias("comp"), F.xxhash64("comp").alias("list"))
+    inside = stash(ends.join(clusters, "comp").select("list", "sig", "n", "comp"))
+    sizes = inside.groupBy("list").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") * TILE / MEMBERS)).alias("size"))
+    tiles = _tiled(inside.join(sizes, "list")).join(sets.select("sig", "members"), "sig")
+    tiles = tiles.select("tile", "side", "n", "sig", "comp", "members").repartition("tile").sortWithinPartitions("tile", "n", "sig")
+    more = stash(tiles.select("tile", "side", "comp", "members").mapInArrow(_crossing(t), "x binary, y binary"))
+    out = connected_components(more, "x", "y")
+    drop_stashes(ends, inside, more)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,29 +410,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "
     rows = shared.join(classes.select("g", "sig", "n", "bits"), "g").drop("g")
     sizes = stash(shared.join(groups, "g").groupBy("list").agg(F.sum("members").alias("size")))
 
-    def edges(rows: DataFrame, forest: bool, schema: list[str]) -> DataFrame:
-        tiles = _tiled(rows.join(sizes, "list")).select("tile", "n", "sig", "bits", *schema)
-        tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "sig")
-        e = tiles.mapInArrow(_edges(t, forest), "x binary, y binary")
-        return e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
-
-    first = stash(edges(rows, True, []))
-    linked = _verified(docs, first, k, t)
+    tiles = _tiled(rows.join(sizes, "list")).select("tile", "n", "sig", "bits")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "sig")
+    pairs = tiles.mapInArrow(_edges(t), "x binary, y binary")
+    first = stash(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
+    drop_stashes(groups, shared, sizes)
+    linked, sets = _verified(docs, first, k, t)
     comps = connected_components(linked)
-    labels = rows.join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    labels = stash(labels)
-    mixed = labels.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-    second = stash(edges(labels.join(mixed, "list", "left_semi"), False, ["comp"]).join(first, ["a", "b"], "left_anti"))
-    more = []
-    if second.limit(1).count():
-        more = [_verified(docs, second, k, t)]
-        if more[0].limit(1).count():
-            comps = connected_components(linked.union(more[0]))
+    joined = _joined(sets, first, linked, comps, t).select(F.col("v").alias("comp"), F.col("comp").alias("whole"))
     named = classes.select("sig", "least_id").join(comps.withColumnRenamed("v", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = named.join(joined, "comp", "left").select("sig", "least_id", F.coalesce("whole", "comp").alias("comp"))
     unnamed = stash(named)
     least = stash(unnamed.groupBy("comp").agg(F.min("least_id").alias("component_id")))
     named = stash(unnamed.join(least, "comp").select("sig", "comp", "component_id"))
-    drop_stashes(classes, groups, shared, sizes, first, labels, linked, second, unnamed, least, *more)
+    drop_stashes(classes, first, linked, sets, unnamed, least)
     out = meta.select("doc_id", "n", "sig").join(named, "sig", "left")
     out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "sig", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
     out.rests_on = (meta, named)

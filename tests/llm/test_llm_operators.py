@@ -92,6 +92,49 @@ def test_jaccard_hot_list_is_tiled(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, 3, 90).collect()} == comp
 
 
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_jaccard_pairs_grow_with_the_group(spark, monkeypatch, tile):
+    """One group of near copies about the threshold: the rows that round two makes grow as the group, not as its square."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    made, kind = [], type(spark.range(0))
+
+    def counted(self, f, schema, plain=kind.mapInArrow):
+        if schema not in ("x binary, y binary", "a binary, b binary"):
+            return plain(self, f, schema)
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def run(batches):
+            for b in f(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(160):
+        w = [f"b{x}" for x in range(300)]
+        for p in rng.choice(300, 3 + i % 3, False):
+            w[p] = f"n{i}_{p}"
+        texts.append((i, " ".join(w)))
+    for m in (40, 160):
+        made.clear()
+        sets = {i: shingles(x, 5) for i, x in texts[:m]}
+        comp = {i: i for i in sets}
+        for i in sets:
+            for j in range(i):
+                if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                    comp = {x: new if c == old else c for x, c in comp.items()}
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(texts[:m], "doc_id long, text string"), 5, 80).collect()}
+        assert got == comp
+        parts = len(set(comp.values()))
+        assert 1 < parts < m
+        assert sum(x.value for x in made[2:]) < m * (1 + m // tile)  # fewer rows than its tiles have
+
+
 def test_jaccard_odd_rows(odd, none):
     got = ngram_join.jaccard_components(odd, 3, 90)
     assert got.count() == 16
