@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -11,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .nearest import nearest_first
 
-SLICE = 512  #: tracks compared with a frame's points at once
 EVENTS = "stream string, emit_frame long, emit_seq int, frame_number long, track_id long, x double, y double"
 
 
-@dataclass
+@dataclass(slots=True)
 class Track:
     track_id: int
     x: float
@@ -46,21 +48,7 @@ def assign(tracks: list[Track], points: list[tuple], most: float) -> dict[int, i
     if not tracks or not points:
         return {}
     t, p = np.array([(t.x, t.y) for t in tracks]), np.array([(p[0], p[1]) for p in points])
-    found = []
-    for at in range(0, len(t), SLICE):  # only pairs within the radius are kept and sorted
-        dx, dy = t[at : at + SLICE, :1] - p[:, 0], t[at : at + SLICE, 1:] - p[:, 1]
-        d = dx * dx + dy * dy
-        i, j = np.nonzero(d <= most * most)
-        found.append((d[i, j], i + at, j))
-    d, i, j = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((j, i, d))
-    match: dict[int, int] = {}
-    used: set[int] = set()
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        if a not in match and b not in used:
-            match[a] = b
-            used.add(b)
-    return match
+    return dict(nearest_first(t[:, 0], t[:, 1], np.arange(len(t)), p[:, 0], p[:, 1], np.arange(len(p)), most))
 
 
 def _span_ok(track: Track, config: Config, size: float | None) -> bool:
@@ -70,15 +58,54 @@ def _span_ok(track: Track, config: Config, size: float | None) -> bool:
     return max(max(xs) - min(xs), max(ys) - min(ys)) >= config.min_span_ratio * size
 
 
-def _merge_target(tracks: list[Track], track: Track, config: Config) -> Track | None:
-    radius = config.max_distance if config.merge_radius_sq is None else config.merge_radius_sq
-    _, x, y = track.pending[0]
+class _Lost:
+    """Where a confirming track finds the lost one that it takes over. `slots`: the frame's tracks as they stand, a track that was
+    taken over replaced by its successor, whose own slot is None. A lost track has not moved in this frame, so places are indexed once."""
+
+    def __init__(self, slots: list[Track | None], config: Config):
+        self.slots, self.before, self.config = slots, list(slots), config
+        self.radius = config.max_distance if config.merge_radius_sq is None else config.merge_radius_sq
+        self.width = max(math.sqrt(max(self.radius, 0.0)), 1e-9) * (1 + 1e-6)
+        self.cells: dict | None = None
+
+    def _cell(self, v: float) -> int:
+        return math.floor(min(max(v / self.width, -(1 << 29)), 1 << 29))
+
+    def _near(self, x: float, y: float) -> Iterator[list[int]]:
+        if self.cells is None:
+            self.cells = defaultdict(list)
+            for k, t in enumerate(self.before):
+                if t.confirmed:
+                    self.cells[self._cell(t.x), self._cell(t.y)].append(k)
+        a, b = self._cell(x), self._cell(y)
+        return (self.cells[c] for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (c := (a + dx, b + dy)) in self.cells)
+
+    def slot(self, track: Track) -> int | None:
+        """The first slot in order whose track fits; with merge_scan "first_track" only the first is looked at."""
+        _, x, y = track.pending[0]
+
+        def fits(k: int) -> bool:
+            t = self.slots[k]
+            return t is self.before[k] and t is not track and t.confirmed and 1 <= t.misses <= self.config.max_missed and (t.x - x) ** 2 + (t.y - y) ** 2 <= self.radius
+
+        if self.config.merge_scan == "first_track":
+            return 0 if fits(0) else None  # the first never leaves its slot: it could only merge with itself
+        if not math.isfinite(self.width):
+            return next(filter(fits, range(len(self.slots))), None)
+        best = len(self.slots)
+        for ks in self._near(x, y):
+            for k in ks:
+                if k >= best:
+                    break
+                if fits(k):
+                    best = k
+                    break
+        return best if best < len(self.slots) else None
 
-    def fits(t: Track) -> bool:
-        return t is not track and t.confirmed and 1 <= t.misses <= config.max_missed and (t.x - x) ** 2 + (t.y - y) ** 2 <= radius
 
-    scan = tracks[:1] if config.merge_scan == "first_track" else tracks
-    return next((t for t in scan if fits(t)), None)
+def _merge_target(tracks: list[Track], track: Track, config: Config) -> Track | None:
+    k = _Lost(tracks, config).slot(track)
+    return None if k is None else tracks[k]
 
 
 def step(state: State, frame: int, points: list[tuple], config: Config, size: float | None = None) -> list[tuple]:
@@ -86,7 +113,9 @@ def step(state: State, frame: int, points: list[tuple], config: Config, size: fl
     confirmation replays the pending frames; a frame without events gives one null event."""
     events: list[tuple] = []
     match = assign(state.tracks, points, config.max_distance) if points else {}
-    for i, track in enumerate(list(state.tracks)):
+    slots = list(state.tracks)
+    lost = _Lost(slots, config)
+    for i, track in enumerate(state.tracks):
         j = match.get(i)
         if j is not None:
             x, y, area = points[j]
@@ -102,15 +131,14 @@ def step(state: State, frame: int, points: list[tuple], config: Config, size: fl
         track.pending.append((frame, x, y))
         if track.hits < config.min_consecutive or not _span_ok(track, config, size):
             continue
-        lost = _merge_target(state.tracks, track, config)
-        if lost is not None:
-            track.track_id = lost.track_id
-            state.tracks.remove(track)
-            state.tracks[state.tracks.index(lost)] = track
+        k = lost.slot(track)
+        if k is not None:
+            track.track_id = slots[k].track_id
+            slots[k], slots[i] = track, None
         track.confirmed = True
         events += [(f, track.track_id, px, py) for f, px, py in track.pending]
         track.pending = []
-    state.tracks = [t for t in state.tracks if t.misses <= 2 * config.max_missed]
+    state.tracks = [t for t in slots if t is not None and t.misses <= 2 * config.max_missed]
     taken = set(match.values())
     for j, (x, y, area) in enumerate(points):
         if j in taken:

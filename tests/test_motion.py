@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenflow import plans
 from lumenflow.config import COMMAND_LINE, COMMAND_LINE_VIEW, LIBRARY, LIBRARY_VIEW, Config
-from lumenflow.operators import assign as assign_ops, debug, intervals, pixels as P, raster, segment, tracker, video
+from lumenflow.operators import assign as assign_ops, debug, intervals, nearest, pixels as P, raster, segment, tracker, video
 from lumenflow.operators.tracker import State, Track, assign, step
 from lumenflow.sources.frames import NpyFrames, check_video_path, moving_spot
 from lumenflow.sources import video as vs
@@ -229,6 +230,41 @@ def test_tracker_equals_brute_force(spark):
     assert tracker.track(df.limit(0), c).count() == 0
 
 
+@pytest.mark.parametrize("pairs,chunk", [(1 << 21, 1 << 18), (40, 7), (3, 7)])
+def test_nearest_first_equals_brute_force(monkeypatch, pairs, chunk):
+    monkeypatch.setattr(nearest, "PAIRS", pairs)
+    monkeypatch.setattr(nearest, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    for k in range(150):
+        unit, radius, span = ((1.0, 0.01, 0.37)[k % 3], (0.0, 1.0, 5.0, 100.0)[k % 4], (3, 8, 40)[k % 5 % 3])
+        (tx, ty, t), (px, py, p) = ((*(rng.integers(-span, span, n) * unit for _ in range(2)), rng.integers(0, n, n) if k % 7 == 0 else rng.permutation(n)) for n in (26, 31))
+        tx[0], py[1] = np.inf, np.nan
+        want = brute_greedy([("", 0, (a - u) * (a - u) + (b - v) * (b - v), int(i), int(j)) for a, b, i in zip(tx, ty, t) for u, v, j in zip(px, py, p) if (a - u) * (a - u) + (b - v) * (b - v) <= radius * radius])
+        assert sorted(nearest.nearest_first(tx, ty, t, px, py, p, radius)) == [r[2:] for r in want]
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_crowded_frame_in_little_memory(copies):
+    rng = np.random.default_rng(6)
+    at = np.tile(rng.random((3000 // copies, 2)) * 10, (copies, 1)).tolist()
+    tracks = [Track(i, x, y) for i, (x, y) in enumerate(at)]
+    tracemalloc.start()
+    got = assign(tracks, [(x + 0.001, y, 1.0) for x, y in at], 10.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) > 2900 and peak < 250e6  # all 8 million pairs with their distance, as lists, take 800 MB
+
+
+def test_crowd_of_takeovers_is_quick():
+    c = Config(max_distance=9.0, min_consecutive=1, min_distance=0.0, min_span_ratio=0.0)
+    lost = [Track(i, 10.0 * i, 0.0, confirmed=True, misses=1) for i in range(3000)]
+    new = [Track(3000 + i, 10.0 * i, 5.0, pending=[(0, 10.0 * i, 1.0)]) for i in range(3000)]
+    s, began = State(lost + new, 6000), time.process_time()
+    events = step(s, 1, [(10.0 * i, 6.0, 1.0) for i in range(3000)], c)
+    assert time.process_time() - began < 2.0
+    assert [t.track_id for t in s.tracks] == list(range(3000)) and {e[1] for e in events} == set(range(3000))
+
+
 @pytest.mark.parametrize("config", [LIBRARY, Config(alpha=0.3, adaptive=False)])
 def test_background_relation_equals_dense(spark, config):
     rng = np.random.default_rng(1)
