@@ -230,6 +230,19 @@ def test_tracker_equals_brute_force(spark):
     assert tracker.track(df.limit(0), c).count() == 0
 
 
+def test_pairs_join_each_place_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if n == 5 else n, float(x), float(y)) for n, (x, y) in enumerate(np.tile(rng.integers(0, 9, (20, 2)), (4, 1)) * 0.7)]
+    rows += [(90, None, 1.0), (91, float("nan"), 1.0), (92, -0.0, 0.0)]
+    p = spark.createDataFrame([("s", 1, *r) for r in rows], "stream string, frame int, i int, x double, y double")
+    t = p.toDF("stream", "frame", "track", "tx", "ty")
+    got = assign_ops.candidate_pairs(t, p, 2.0, 3)
+    want = [("s", 1, a, b, round((u - x) ** 2 + (v - y) ** 2, 3)) for a, u, v in rows for b, x, y in rows if None not in (u, x) and (u - x) ** 2 + (v - y) ** 2 <= 4.0]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(is") < plan.index("explode(tracks") < plan.index("Join")  # copies are spread out after the join
+
+
 @pytest.mark.parametrize("pairs,chunk", [(1 << 21, 1 << 18), (40, 7), (3, 7)])
 def test_nearest_first_equals_brute_force(monkeypatch, pairs, chunk):
     monkeypatch.setattr(nearest, "PAIRS", pairs)
