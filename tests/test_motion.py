@@ -230,6 +230,33 @@ def test_tracker_equals_brute_force(spark):
     assert tracker.track(df.limit(0), c).count() == 0
 
 
+@pytest.mark.parametrize("batch,kind", [(10000, "int"), (7, "string")])
+def test_greedy_points_equals_greedy_of_pairs(spark, batch, kind, monkeypatch):
+    monkeypatch.setattr(assign_ops, "stash", None)  # no pairs are written
+    rng = np.random.default_rng(9)
+    rows = [(str(s), int(f), int(n) if n % 11 else None, float(x), float(y)) for s in rng.integers(0, 2, 2) for f in range(3) for n, (x, y) in enumerate(np.tile(rng.integers(0, 9, (15, 2)), (2, 1)))]
+    rows += [(None, 1, 7, 1.0, 1.0), ("1", None, 7, 1.0, 1.0), ("1", 1, 98, float("nan"), 1.0), ("1", 1, 99, None, 1.0)]
+    p = spark.createDataFrame(rows, "stream string, frame int, i int, x double, y double").withColumn("i", F.col("i").cast(kind))
+    t = p.select("stream", (F.col("frame") + 1).alias("frame"), F.col("i").alias("track"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    pairs = [(r.stream, r.frame, r.dist_sq, r.track, r.i) for r in assign_ops.candidate_pairs(t, p, 3.0).dropna().collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = assign_ops.greedy_points(t, p, 3.0)
+        assert sorted(map(tuple, got.collect())) == brute_greedy(pairs) and len(pairs) > 300
+        assert got.schema["track"].dataType == p.schema["i"].dataType
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("query", ["greedy_assignment"])
+def test_matching_writes_no_pairs(spark, query, monkeypatch):
+    def none(*_):
+        raise AssertionError("pairs are written")
+
+    monkeypatch.setattr(assign_ops, "stash", none)
+    assert plans.queries()[query](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_pairs_join_each_place_once(spark):
     rng = np.random.default_rng(8)
     rows = [(None if n == 5 else n, float(x), float(y)) for n, (x, y) in enumerate(np.tile(rng.integers(0, 9, (20, 2)), (4, 1)) * 0.7)]
