@@ -211,7 +211,7 @@ def greedy_assignment(spark, sf_dir):
 
 @query(_GREEDY + " SELECT p.stream, p.frame, p.i FROM pts p WHERE NOT EXISTS (SELECT 1 FROM f WHERE ok AND f.stream = p.stream AND f.frame = p.frame AND f.i = p.i)")
 def unassigned_detections(spark, sf_dir):
-    return assign.unassigned(points(spark, sf_dir), assign.greedy(assign.candidate_pairs(*_sides(spark, sf_dir), RADIUS))).select("stream", "frame", "i")
+    return assign.unassigned(points(spark, sf_dir), assign.greedy_points(*_sides(spark, sf_dir), RADIUS)).select("stream", "frame", "i")
 
 
 _RUNS = f"""{SIGNALS}, h AS (SELECT stream, frame, v > 50 AS hit, CASE WHEN lag(v > 50) OVER w IS DISTINCT FROM (v > 50) THEN 1 ELSE 0 END AS c FROM sig WINDOW w AS (PARTITION BY stream ORDER BY frame)),

@@ -248,7 +248,7 @@ def test_greedy_points_equals_greedy_of_pairs(spark, batch, kind, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("query", ["greedy_assignment"])
+@pytest.mark.parametrize("query", ["greedy_assignment", "unassigned_detections"])
 def test_matching_writes_no_pairs(spark, query, monkeypatch):
     def none(*_):
         raise AssertionError("pairs are written")
