@@ -270,6 +270,17 @@ def test_pairs_join_each_place_once(spark):
     assert plan.index("explode(is") < plan.index("explode(tracks") < plan.index("Join")  # copies are spread out after the join
 
 
+def test_merge_candidates_join_each_place_once(spark):
+    rng = np.random.default_rng(10)
+    rows = [("s", int(f), n if n % 9 else None, float(x), float(y)) for n, (f, x, y) in enumerate(np.tile(rng.integers(0, 7, (25, 3)), (3, 1)))] + [("s", 3, 90, None, 1.0), ("s", 4, 91, 1.0, float("nan"))]
+    p = spark.createDataFrame(rows, "stream string, frame int, track int, x double, y double")
+    got = assign_ops.merge_candidates(p, p, 2, 4.0, 6)
+    want = [("s", a, b, f, g, (x - u) ** 2 + (y - v) ** 2) for _, f, a, u, v in rows for _, g, b, x, y in rows if None not in (a, b, u, x) and a != b and 1 <= g - f <= 2 and (x - u) ** 2 + (y - v) ** 2 <= 4.0]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(tracks") < plan.index("explode(olds") < plan.index("Join")
+
+
 @pytest.mark.parametrize("pairs,chunk", [(1 << 21, 1 << 18), (40, 7), (3, 7)])
 def test_nearest_first_equals_brute_force(monkeypatch, pairs, chunk):
     monkeypatch.setattr(nearest, "PAIRS", pairs)
